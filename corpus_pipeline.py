@@ -1,10 +1,61 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+A stage takes (spark, docs, sf_dir); all but the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ctxspark.llm.common import cut
+from ctxspark.llm.decontam import keep_uncontaminated
+from ctxspark.llm.linededup import remove_boilerplate
+from ctxspark.llm.packing import pack
+from ctxspark.llm.queries import packed, table, toxicity_model
+from ctxspark.llm.simhash import near_duplicates
+from ctxspark.llm.toxicity import keep_clean
+
+TOXIC_AT = 0.7
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go. The model learns from the labelled documents of the input."""
+    return keep_clean(docs, toxicity_model(spark, docs, sf_dir), TOXIC_AT)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-site boilerplate lines go, but for their first occurrence; every document stays. n_chars follows the text."""
+    kept = remove_boilerplate(docs)
+    return kept.select(*[F.coalesce(F.length("text"), F.lit(0)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays (documents with a null id stay, too);
+    rows that repeat an id are one document."""
+    found = near_duplicates(docs)
+    kept = cut(found.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct())
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item of the benchmark go."""
+    return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in token sequences."""
+    return packed(pack(docs))
+
+
+STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("best-fit packing", packing)]
+
+#: SQL can express neither the trained classifier nor the fingerprints; tests hold run() against brute force.
+ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,3 +24,86 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def _remainder(column: str, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Fitted on labelled rows whose remainder is not 1."""
+    from ctxspark.llm.toxicity import fit, training_sample
+
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    known = docs.select(F.col("doc_id").alias("id"), "text").where(_remainder("id", 3) != 1)
+    return fit(*training_sample(known, labels))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctxspark.llm.toxicity import score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(_remainder("id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctxspark.llm.linededup import remove_boilerplate
+
+    kept = remove_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op5_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l),
+k AS (SELECT doc_id, coalesce(source, chr(0)) AS site, line, pos, trim(line, ' ' || chr(9) || chr(13)) AS key FROM e),
+b AS (SELECT key, min((doc_id, pos)) AS first FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= 10),
+m AS (SELECT k.doc_id, k.pos, k.line, b.key IS NOT NULL AND (k.doc_id, k.pos) <> b.first AS gone
+      FROM k LEFT JOIN b ON k.key = b.key),
+a AS (SELECT doc_id, count(*) AS n_lines, sum(gone::INT) AS n_removed,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctxspark.llm.decontam import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_shared", "containment")
+
+
+ORACLES["op7_decontamination"] = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)),
+v AS (SELECT item_id, list_filter(string_split_regex(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM benchmark)),
+i AS (SELECT item_id, least(5, len(ws)) AS n, unnest(list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2),
+        lambda k: array_to_string(ws[k:k + least(5, len(ws)) - 1], ' ')))) AS g FROM v WHERE len(ws) > 0),
+z AS (SELECT item_id, n, count(*) AS n_shingles FROM i GROUP BY item_id, n),
+ns AS (SELECT DISTINCT n FROM z),
+d AS (SELECT doc_id, n, unnest(list_distinct(list_transform(range(1, len(ws) - n + 2), lambda k: array_to_string(ws[k:k + n - 1], ' ')))) AS g
+      FROM w, ns WHERE len(ws) >= n),
+s AS (SELECT doc_id, i.item_id, i.n, count(*) AS n_shared FROM d JOIN i ON d.g = i.g AND d.n = i.n GROUP BY doc_id, i.item_id, i.n)
+SELECT doc_id, s.item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM s JOIN z ON s.item_id = z.item_id WHERE n_shared >= ceil(0.8 * n_shingles - 1e-9)
+"""
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctxspark.llm.packing import pack
+
+    return packed(pack(table(spark, sf_dir, "documents")))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
