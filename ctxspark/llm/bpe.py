@@ -44,13 +44,15 @@ class Encoder:
     def __init__(self, path: str):
         self.path = path
         letters = _byte_letters()
-        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        vocab = whole["model"]["vocab"] | {x["content"]: x["id"] for x in whole["added_tokens"]}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
         self._bpe = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.sizes[i] = len(token)
-        self.sizes[vocab.get(SPECIAL, len(self.sizes) - 1)] = len(SPECIAL)
+        self.sizes[vocab[SPECIAL]] = len(SPECIAL)
         self._memo: dict[str, bytes] = {}
         self._own = None
 

@@ -107,3 +107,58 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctxspark.llm.language import fit, identify, training_sample
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(*training_sample(docs.where(_remainder("doc_id", 4) != 2).select("text", "lang")))
+    found = identify(docs, model)
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(_remainder("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctxspark.llm.attribution import section_tokens
+
+    counted = section_tokens(table(spark, sf_dir, "documents"))
+    return counted.withColumnRenamed("id", "doc_id").withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctxspark.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _license_sql() -> str:
+    from ctxspark.llm.licenses import BLOCK_STEP, BLOCK_WORDS, CONTAINMENT, PHRASES, TEMPLATES
+
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES)
+    templates = ", ".join(f"({k}, '{t}', '{label}')" for k, (t, label) in enumerate(TEMPLATES))
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
+p(phrase, label) AS (VALUES {phrases}),
+h AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(string_split(phrase, ' ')) + 1),
+        lambda i: array_to_string(w[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase)) AS place FROM d, p WHERE len(w) >= len(string_split(phrase, ' '))),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id),
+t AS (SELECT k, label, list_distinct(string_split(body, ' ')) AS own FROM (VALUES {templates}) x(k, body, label)),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, n, regexp_extract_all(lower(line), '{word}') AS w FROM l),
+k AS (SELECT doc_id, n, w, unnest(range(0, greatest(len(w) - {BLOCK_STEP + 1}, 0) + 1, {BLOCK_STEP})) AS block FROM v),
+s AS (SELECT doc_id, n, block, label, len(list_intersect(own, w[block + 1:block + {BLOCK_WORDS}])) AS has, len(own) AS size FROM k, t),
+m AS (SELECT *, has / size AS share, max(has / size) OVER (PARTITION BY doc_id, n, block) AS best FROM s WHERE has >= ceil({CONTAINMENT} * size - 1e-9)),
+g AS (SELECT doc_id, label, share FROM m WHERE share = best),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM g UNION ALL SELECT doc_id, label FROM h) GROUP BY doc_id),
+c AS (SELECT doc_id, max(share) AS share FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS DOUBLE) AS score
+FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
+
+ORACLES["op3_license_scan"] = _license_sql()
