@@ -162,3 +162,23 @@ FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN a ON d.doc_id = a.doc_id LEF
 
 
 ORACLES["op3_license_scan"] = _license_sql()
+
+
+@query
+def op2_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctxspark.llm.mtree import top_k
+
+    raw = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    whole = raw.where("e is not null").where(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    scaled = whole.select(F.col("vec_id").alias("id"), F.transform("e", lambda x: F.floor(x * 256)).alias("vector"))
+    return top_k(scaled, F.col("id") % 50 == 0).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLES["op2_mtree_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
