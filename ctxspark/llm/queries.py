@@ -182,3 +182,26 @@ p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctxspark.llm.fmindex import dedup_passages
+
+    kept = dedup_passages(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op6_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(0, len(w) - 19)) AS a, w FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, a, md5(array_to_string(w[a + 1:a + 20], ' ')) AS g FROM s),
+f AS (SELECT g, min((doc_id, a)) AS first FROM h GROUP BY g HAVING count(*) > 1),
+r AS (SELECT h.doc_id, h.a FROM h JOIN f ON h.g = f.g WHERE (h.doc_id, h.a) <> f.first),
+c AS (SELECT DISTINCT doc_id, unnest(range(a, a + 20)) AS pos FROM r),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+k AS (SELECT e.doc_id, count(*) AS n_words, count(c.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.pos) FILTER (c.pos IS NULL), '') AS kept
+      FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.pos = c.pos GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
