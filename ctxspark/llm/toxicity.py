@@ -39,7 +39,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _peaks(words: Words, weights: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _peaks(words: Words, weights: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Per text the highest mean of its runs of window words, and of all words whether they stand in that run.
     Immediate repeats count once; a shorter text counts as filled up with neutral words."""
     values, count, at = collapsed(words, words.word_means(weights)[0])
@@ -48,18 +48,29 @@ def _peaks(words: Words, weights: np.ndarray, window: int) -> tuple[np.ndarray,
     place = np.arange(len(at)) - (np.cumsum(count) - count)[own] - where[own]
     inside = np.zeros(len(words.doc), bool)
     inside[at[(place >= 0) & (place < window)]] = True
-    return best / window, inside, count
+    return best / window, inside
 
 
 class _Bags:
-    """Texts as rows of a sparse matrix: row, bucket, weight; each row's weights sum to 1, or to its words / size."""
-
-    def __init__(self, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, n: int, size: int = 0):
-        key, flat = np.unique(row * BUCKETS + bucket, return_inverse=True)
-        weight = np.bincount(flat, weight)
-        self.row, self.bucket = key // BUCKETS, key % BUCKETS
-        self.weight = weight / size if size else weight / np.maximum(np.bincount(self.row, weight, minlength=n), 1e-9)[self.row]
-        self.at = np.searchsorted(self.row, np.arange(n + 1))
+    """Texts as rows of a sparse matrix: bucket and weight; each row's weights sum to 1, or to its words / size. It is
+    made a chunk of texts at a time; inside: per chunk which words count."""
+
+    def __init__(self, chunks: list[Words], inside: list[np.ndarray] | None = None, size: int = 0):
+        buckets, weights, lengths = [], [], []
+        for k, words in enumerate(chunks):
+            word, bucket, weight = words.matrix()
+            if inside:
+                keep = inside[k][word]
+                word, bucket, weight = word[keep], bucket[keep], weight[keep]
+            n = len(words.count)
+            key, flat = np.unique(words.doc[word] * BUCKETS + bucket, return_inverse=True)
+            row, weight = key // BUCKETS, np.bincount(flat, weight)
+            weight = weight / (size or np.maximum(np.bincount(row, weight, minlength=n), 1e-9)[row])
+            buckets.append((key % BUCKETS).astype(np.int32))
+            weights.append(weight.astype(np.float32))
+            lengths.append(np.bincount(row, minlength=n))
+        self.bucket, self.weight = np.concatenate(buckets), np.concatenate(weights)
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
 
 
 def _train(bags: _Bags, y: np.ndarray, emb: np.ndarray, out: np.ndarray, epochs: int, rng: np.random.Generator, rate: float) -> None:
@@ -87,6 +98,10 @@ def _train(bags: _Bags, y: np.ndarray, emb: np.ndarray, out: np.ndarray, epochs:
             out -= rate * grad_out / np.sqrt(g_out)
 
 
+def _chunks(texts: list[bytes], size: int = 64) -> list[Words]:
+    return [Words(texts[k : k + size]) for k in range(0, len(texts), size)]
+
+
 def fit(texts: list[bytes], labels: list[int], window: int = WINDOW, seed: int = 11) -> ToxicityModel:
     """Both layers are first trained on means over whole texts, then on each text's run of words that scores highest
     so far (toxic texts hold few toxic words). A third of the texts is kept out of that and only sets scale and shift.
@@ -102,32 +117,31 @@ def fit(texts: list[bytes], labels: list[int], window: int = WINDOW, seed: int =
     rows = np.flatnonzero(~aside)
     if len(set(y[rows].tolist())) < 2:
         aside[:], rows = False, np.arange(len(y))
-    words = Words([texts[i] for i in rows])
-    word, bucket, weight = words.matrix()
+    chunks = _chunks([texts[i] for i in rows])
     emb, out = rng.normal(0, 0.1, (BUCKETS, DIM)), np.concatenate([rng.normal(0, 0.5, DIM), [0.0]])
-    _train(_Bags(words.doc[word], bucket, weight, len(rows)), y[rows], emb, out, 4, rng, 0.3)
+    _train(_Bags(chunks), y[rows], emb, out, 4, rng, 0.3)
     for _ in range(ROUNDS):
-        _, inside, _ = _peaks(words, (emb @ out[:-1]).astype(np.float32), window)
-        keep = inside[word]
-        _train(_Bags(words.doc[word[keep]], bucket[keep], weight[keep], len(rows), window), y[rows], emb, out, 3, rng, 0.2)
+        weights = (emb @ out[:-1]).astype(np.float32)
+        bags = _Bags(chunks, [_peaks(words, weights, window)[1] for words in chunks], window)
+        _train(bags, y[rows], emb, out, 3, rng, 0.2)
     model = ToxicityModel((emb @ out[:-1]).astype(np.float32), 1.0, float(out[-1]), window)
     held = np.flatnonzero(aside) if aside.any() else rows
-    spot = Words([texts[i] for i in held])
-    model.scale, model.shift = _platt(_peaks(spot, model.weights, window)[0], y[held])
+    peaks = [_peaks(words, model.weights, window)[0] for words in _chunks([texts[i] for i in held])]
+    model.scale, model.shift = _platt(np.concatenate(peaks), y[held])
     return model
 
 
 def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic scale and shift by Newton steps, slightly smoothed targets, classes weighed alike."""
+    """Logistic scale and shift by Newton steps, with slightly smoothed targets; classes weigh as many as they are."""
     n1, n0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     mean, sd = m.mean(), m.std() or 1.0
     x = np.stack([(m - mean) / sd, np.ones(len(m))], 1)
-    a, share = np.zeros(2), np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
+    a = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        g = x.T @ (share * (p - t)) + 1e-3 * a
-        h = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (p - t) + 1e-3 * a
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         a -= np.clip(np.linalg.solve(h, g), -2, 2)
     return float(a[0] / sd), float(a[1] - a[0] * mean / sd)
 
