@@ -56,13 +56,14 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Lines are compared without blanks at their ends; blank lines stay. A null text has no lines and stays null. Rows
     with a null id keep all their lines, which count for the spread. Rows that repeat an id are taken for one document.
-    The texts are shuffled once at most, next to the lists of places that each loses."""
+    The texts are shuffled once, next to the lists of places that each loses: both grow with the input, so neither is
+    broadcast."""
     clash = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]
     docs = docs.drop(*clash)
     drops = cut(dropped_lines(docs, id_col, text_col, site_col, min_sites))
     lines = lines_of(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    joined = docs.join(drops.select(F.col("id").alias("__id"), F.col("dropped").alias("__dropped")), F.col(id_col) == F.col("__id"), "left")
+    joined = docs.join(drops.select(F.col("id").alias("__id"), F.col("dropped").alias("__dropped")).hint("merge"), F.col(id_col) == F.col("__id"), "left")
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_removed"))
