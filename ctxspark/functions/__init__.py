@@ -1,0 +1 @@
+"""Column helpers: value semantics, text primitives, hashes."""

@@ -1,0 +1 @@
+"""Operators on DataFrames: special aggregates, statistics, snapshots."""

@@ -1,0 +1 @@
+"""Statements to DataFrame plans."""

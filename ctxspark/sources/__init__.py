@@ -1,0 +1 @@
+"""Catalog and tables."""

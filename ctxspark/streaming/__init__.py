@@ -1,0 +1 @@
+"""Messages as a stream."""
