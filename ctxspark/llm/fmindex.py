@@ -204,7 +204,7 @@ def earlier_windows(stretches: list[bytes]) -> Iterator[tuple[int, int]]:
     """(stretch, word) where a window of words begins that also begins earlier, in an earlier stretch or further left."""
     ids: dict[bytes, int] = {}
     coded = [[ids.setdefault(w, len(ids) + 1) for w in s.split()] for s in stretches]
-    size = np.array([len(c) for c in coded])
+    size = np.array([len(c) for c in coded], np.int64)
     text = np.zeros(int((size + 1).sum()), np.int64)
     begin = np.cumsum(size + 1) - size - 1
     for b, c in zip(begin.tolist(), coded):
