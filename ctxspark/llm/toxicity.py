@@ -18,6 +18,7 @@ WINDOW = 8
 #: The bounded sample: at most so many labelled texts of class 0 and of class 1, none longer than so many characters.
 SAMPLE_PER_CLASS = (2000, 1000)
 SAMPLE_CHARS = 12_000
+SPARE = 4
 DIM = 8
 ROUNDS = 6
 
@@ -147,11 +148,14 @@ def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> tuple[list[bytes], list[int]]:
-    """At most per_class[c] labelled texts of each class c, none longer than chars: those with the smallest hash of their id.
-    docs: (id, text); labels: (id, label). Rows with nulls give nothing; a text with both labels counts as 1."""
-    labels = labels.where("label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
-    known = docs.where(F.length("text") <= chars).join(labels, "id").select("label", "text", F.xxhash64("id", "text").alias("h"))
-    rows = [r for c in (0, 1) for r in known.where(F.col("label") == c).orderBy("h").limit(per_class[c]).collect()]
+    """At most per_class[c] labelled texts of each class c, none longer than chars: those with the smallest hash of their id
+    among the SPARE times as many labels that are tried. docs: (id, text); labels: (id, label). Rows with nulls give
+    nothing; a text with both labels counts as 1. The tried labels are of bounded number, so they are broadcast and
+    texts are not shuffled."""
+    labels = labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
+    tried = [labels.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(SPARE * per_class[c]) for c in (0, 1)]
+    known = docs.where(F.length("text") <= chars).join(F.broadcast(tried[0].unionByName(tried[1])), "id").select("id", "label", "text")
+    rows = [r for c in (0, 1) for r in known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class[c]).collect()]
     return [r.text.encode() for r in rows], [r.label for r in rows]
 
 
