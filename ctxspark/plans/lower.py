@@ -112,12 +112,19 @@ class Lowering:
             raise EvalError("A window function must be a select item of its own")
         raise EvalError("Unsupported expression")
 
+    def condition(self, e: A.Expr, rel: Relation, known: dict | None = None) -> Column:
+        """e as a filter or join condition. These take NULL for false anyway, so comparisons and their AND and OR stay
+        bare, and Catalyst sees join keys and what it can push into scans; below NOT the two-valued form stands."""
+        if isinstance(e, A.Binary) and e.op in ("AND", "OR"):
+            a, b = self.condition(e.left, rel, known), self.condition(e.right, rel, known)
+            return a & b if e.op == "AND" else a | b
+        v = self.value(e, rel, known)
+        return v.col if isinstance(e, A.Binary) and v.kind == "bool" else sem.truthy(v)
+
     def join(self, left: Relation, j: A.Join) -> Relation:
         right = self.scan(j.table)
         both = Relation(left.df, [*left.fields, *right.fields], left.order)
-        test = sem.truthy(self.value(j.on, both))
-        if isinstance(j.on, A.Binary) and j.on.op == "=":  # bare, so that Catalyst sees the keys
-            test = self.value(j.on, both).col
+        test = self.condition(j.on, both)
         return replace(both, df=left.df.join(right.df, test, j.kind))
 
     def rank(self, e: A.Rank, rel: Relation) -> Column:
@@ -134,7 +141,7 @@ class Lowering:
         for j in s.joins:
             rel = self.join(rel, j)
         if s.where is not None:
-            rel = replace(rel, df=rel.df.where(sem.truthy(self.value(s.where, rel))))
+            rel = replace(rel, df=rel.df.where(self.condition(s.where, rel)))
         calls = [x for e in s.items for x in walk(e) if isinstance(x, A.Call)]
         if arg := next((c for c in calls if c.name in ARG_ROWS), None):
             order = F.col(rel.order) if rel.order else None
@@ -210,7 +217,7 @@ class Lowering:
             raise EvalError("A wildcard cannot stand with aggregates")
         grouped = Relation(out, rel.fields)
         if s.having is not None:
-            grouped = replace(grouped, df=out.where(sem.truthy(self.value(s.having, rel, known))))
+            grouped = replace(grouped, df=out.where(self.condition(s.having, rel, known)))
         return grouped, items, known
 
     def call(self, c: A.Call, rel: Relation, keys: list[Value]) -> tuple[Column | None, str, DataFrame | None]:

@@ -41,3 +41,8 @@ def test_filters_and_columns_reach_the_scan(spark, capsys):
     own.QUERIES["filter_cmp"](spark, SF).explain("formatted")
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(o_totalprice,200000.0)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_equality_among_other_conditions_is_a_join_key(spark, capsys):
+    own.run(spark, SF, "slay c.c_name no-cap customer lowkey c left-link-up orders lowkey o fr-fr c.c_custkey = o.o_custkey plus o.o_totalprice > 10").explain()
+    assert "NestedLoop" not in capsys.readouterr().out
