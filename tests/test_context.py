@@ -160,3 +160,67 @@ def test_retrieval(spark):
     shown = R.full_history(m)
     needed = spark.createDataFrame([("c", "required", "rome"), ("c", "required", "oslo"), ("c", "stale", "x y z")], "context string, kind string, needle string")
     assert [tuple(r) for r in R.quality(shown, needed).collect()] == [("c", 0.5, 1.0, None)]
+
+
+def plain_atoms(text):
+    """A plain model of the extraction rules, over bytes."""
+    import re
+
+    from ctxspark.context import rules as R
+    from ctxspark.functions.text import SLUG_STOP
+
+    space = " \t\n\x0b\f\r"
+    low = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+    def clean(s):
+        s = s.strip(space)
+        for stop in (" but ", " because "):
+            if stop in low(s):
+                s = s[: low(s).index(stop)]
+                break
+        return s.rstrip(".!?,;").strip(space)
+
+    def named(base, value):
+        if base == "user_constraint" and any(t in low(value) for t in R.SECURITY_TERMS):
+            return "user_constraint.security"
+        words = [t for t in re.findall("[a-z0-9]+", low(value)) if len(t) >= 3 and t not in SLUG_STOP][:4]
+        return f"{base}.{'_'.join(words) or 'general'}" if base in R.SLUGGED else base
+
+    out = []
+    for key, kind, markers, with_marker in R.MARKERS:
+        for m in markers:
+            if m not in low(text):
+                continue
+            begin = low(text).index(m) + len(m)
+            rest, end = text[begin:], None
+            for k, c in enumerate(rest):
+                if c in "\n\r!?;" or c == "." and (k + 1 == len(rest) or rest[k + 1] in space):
+                    end = k
+                    break
+            value = rest if end is None else rest[:end]
+            snippet = value.strip(space)
+            if not clean(value):
+                continue
+            start = len(text[:begin].encode())
+            stop = start + len((snippet if end is None else value).encode())
+            full = clean(m + clean(value)) if with_marker else clean(value)
+            shown = clean(m + snippet) if with_marker else snippet
+            rule = "marker:remember that" if m == "remember that " else f"marker:{m}"
+            out.append((named(key, full), full, kind, rule, "0.92", start, stop, shown))
+            break
+    if "?" in text and clean(text):
+        out.append((named("open_question", clean(text)), clean(text), "question", "punctuation:question_mark", "0.75", 0, len(text.encode()), text))
+    return out
+
+
+def test_atoms_against_plain_model(spark):
+    import random
+
+    from ctxspark.context import rules as R
+
+    r = random.Random(11)
+    bits = [m for _, _, ms, _ in R.MARKERS for m in ms] + ["Rome", "a secret api key", "läck 41.5", ".", ". ", "?", "! ", ";\n", " but ", " because ", "x", "The plan of it", "  ", ",", "\r\n", "UPPER I LIKE tea"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 7))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for row in frame.select("i", E.atoms(E.F.col("t")).alias("a")).collect():
+        assert [tuple(a) for a in row.a] == plain_atoms(texts[row.i]), repr(texts[row.i])
