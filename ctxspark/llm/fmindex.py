@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxspark.llm.common import WordHash, bound_arrow, cut, ngram_hash, text_slices
+from ctxspark.llm.common import WordHash, bound_arrow, cut, mix, ngram_hash, text_slices
 
 #: Words of a window, and of the runs whose smallest hash names a window's shard.
 WINDOW, RUN = 20, 6
@@ -125,6 +124,25 @@ def window_names(h: np.ndarray, owner: np.ndarray, window: int = WINDOW, run: in
     return first, size, low[first], places
 
 
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class TextKeys:
+    """Two 64-bit hashes of any stretch of words, from sums of powers over all of them: equal words, equal keys."""
+
+    def __init__(self, h: np.ndarray):
+        self.sums, self.back = [], []
+        for base in _BASES:
+            n = len(h) + 1
+            power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]))
+            inverse = np.uint64(pow(int(base), -1, 1 << 64))
+            self.back.append(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse)])))
+            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ base) * power[:-1], dtype=np.uint64)]))
+
+    def of(self, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        return [mix((s[first + n] - s[first]) * b[first] + n.astype(np.uint64)) for s, b in zip(self.sums, self.back)]
+
+
 class NameFilter:
     """A bounded set of 64-bit names: no false negatives."""
 
@@ -174,30 +192,47 @@ def _name_counts(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "name long, places long").groupBy("name").agg(F.sum("places").alias("places"))
 
 
-def _stretches(docs: DataFrame, often, frequent, shards: int) -> DataFrame:
-    """(shard, name, alone, id, start, n_words, words): the text of all stretches whose name occurs more than once, in
-    single windows if it is frequent. alone: nothing in the stretch can repeat within it."""
+def _stretches(docs: DataFrame, often, frequent) -> DataFrame:
+    """(name, key, alone, id, start, n_words) of all stretches whose name occurs more than once, in single windows, named
+    by themselves, if it is frequent. alone: nothing in the stretch can repeat within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of, repeats, many = WordHash(), often.value, frequent.value
         for rows, texts in text_slices(batches):
-            flat, h, owner, begin = _hashed(texts, hash_of)
+            _, h, owner, begin = _hashed(texts, hash_of)
             first, size, name, places = window_names(h, owner)
             keep = repeats.has(name)
             first, size, name, places = first[keep], size[keep], name[keep], places[keep]
-            hot = many.has(name)
-            a, n, m, alone = first[~hot], size[~hot] + WINDOW - 1, name[~hot], places[~hot] == 1
-            a2 = np.arange(int(size[hot].sum())) + np.repeat(first[hot] - (np.cumsum(size[hot]) - size[hot]), size[hot])
-            words = [b" ".join(flat[x : x + k]) for x, k in zip(a.tolist(), n.tolist())] + [b" ".join(flat[x : x + WINDOW]) for x in a2.tolist()]
-            m = np.concatenate([m, np.fromiter((xxhash.xxh64_intdigest(w, 3) for w in words[len(a) :]), np.uint64, len(a2))])
-            a, n = np.concatenate([a, a2]), np.concatenate([n, np.full(len(a2), WINDOW)])
-            alone = np.concatenate([alone, np.ones(len(a2), bool)])
+            keys, hot = TextKeys(h), many.has(name)
+            a, n, alone = first[~hot], size[~hot] + WINDOW - 1, places[~hot] == 1
+            single = np.arange(int(size[hot].sum())) + np.repeat(first[hot] - (np.cumsum(size[hot]) - size[hot]), size[hot])
+            key, other = keys.of(np.concatenate([a, single]), np.concatenate([n, np.full(len(single), WINDOW)]))
+            a, n = np.concatenate([a, single]), np.concatenate([n, np.full(len(single), WINDOW)])
+            name = np.concatenate([name[~hot], other[len(a) - len(single) :]])
+            alone = np.concatenate([alone, np.ones(len(single), bool)])
+            doc = owner[a] if len(a) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key.view(np.int64)), pa.array(alone), rows.column(0).take(pa.array(doc)), pa.array((a - begin[doc]).astype(np.int64)), pa.array(n.astype(np.int64))], ["name", "key", "alone", "id", "start", "n_words"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInArrow(run, f"name long, key long, alone boolean, id {kind}, start long, n_words long")
+
+
+def _worded(docs: DataFrame, varied, frequent, shards: int) -> DataFrame:
+    """(shard, name, alone, id, start, words): the text of the stretches whose name is varied and not frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = WordHash()
+        for rows, texts in text_slices(batches):
+            flat, h, owner, begin = _hashed(texts, hash_of)
+            first, size, name, places = window_names(h, owner)
+            keep = varied.value.has(name) & ~frequent.value.has(name)
+            a, n, name, alone = first[keep], size[keep] + WINDOW - 1, name[keep], places[keep] == 1
+            words = [b" ".join(flat[x : x + k]) for x, k in zip(a.tolist(), n.tolist())]
             doc = owner[a] if len(a) else np.empty(0, np.int64)
-            shard = (m % np.uint64(shards)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(m.view(np.int64)), pa.array(alone), rows.column(0).take(pa.array(doc)), pa.array((a - begin[doc]).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(words, pa.binary())], ["shard", "name", "alone", "id", "start", "n_words", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array((name % np.uint64(shards)).astype(np.int32)), pa.array(name.view(np.int64)), pa.array(alone), rows.column(0).take(pa.array(doc)), pa.array((a - begin[doc]).astype(np.int64)), pa.array(words, pa.binary())], ["shard", "name", "alone", "id", "start", "words"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"shard int, name long, alone boolean, id {kind}, start long, n_words long, words binary")
+    return docs.select("id", "text").mapInArrow(run, f"shard int, name long, alone boolean, id {kind}, start long, words binary")
 
 
 def earlier_windows(stretches: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -219,9 +254,9 @@ def earlier_windows(stretches: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def _search(held: DataFrame, kind: str) -> DataFrame:
-    """held (shard, name, alone, id, start, words), distinct texts with their first place: (id, start, n_words) of the
-    windows that begin earlier, joined where they overlap. Each shard's index is built from the texts whose name more
-    than one of them has; its own texts are then streamed through it."""
+    """held (shard, name, alone, id, start, words) in order within each shard: (id, start, n_words) of the windows that
+    begin earlier, joined where they overlap. Of equal texts only the first counts here. Each shard's index is built
+    from the texts whose name more than one of them has; its own texts are then streamed through it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.Table] = []
@@ -239,7 +274,11 @@ def _search(held: DataFrame, kind: str) -> DataFrame:
             yield solve(pa.concat_tables(parts))
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        names, flat, count = np.unique(t.column("name").to_numpy(), return_inverse=True, return_counts=True)
+        once: dict[bytes, int] = {}
+        for k, w in enumerate(t.column("words").to_pylist()):
+            once.setdefault(w, k)
+        t = t.take(pa.array(list(once.values()), pa.int64()))
+        _, flat, count = np.unique(t.column("name").to_numpy(), return_inverse=True, return_counts=True)
         at = np.flatnonzero((count[flat] > 1) | ~t.column("alone").to_numpy(zero_copy_only=False).astype(bool))
         t = t.take(pa.array(at))
         start = t.column("start").to_numpy()
@@ -260,25 +299,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     further left in the same text). Stretches may touch or overlap.
 
     A window's name is the smallest hash among its runs of RUN words, so equal windows have one name. Names that occur
-    once cannot repeat and are left out by a filter of bounded size. The text of the others meets by name: copies of
-    a stretch merge in the aggregation into one with its first place; the rest of each shard goes into one FM-index,
-    where backward search finds each window's occurrences. Frequent names are dealt out by whole windows."""
+    once cannot repeat and are left out by a filter of bounded size. The stretches of the others meet by name and by a
+    hash of their text: all copies of one but the first are repeated as they stand. Where a name has several texts, a
+    window may also repeat between them; only these texts are shuffled as words, by name, each shard into one FM-index,
+    where backward search finds each window's occurrences. Frequent names are dealt out by whole windows, which are
+    copies of each other or nothing, so no shard holds more than FREQUENT stretches of one name."""
     spark = docs.sparkSession
     bound_arrow(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     names = cut(_name_counts(docs).where("places > 1"))
-    n, places, n_frequent = names.agg(F.count("*"), F.sum("places"), F.count_if(F.col("places") > FREQUENT)).first()
+    n, n_frequent = names.agg(F.count("*"), F.count_if(F.col("places") > FREQUENT)).first()
     often = spark.sparkContext.broadcast(NameFilter.of(names, n))
     frequent = spark.sparkContext.broadcast(NameFilter.of(names.where(F.col("places") > FREQUENT), n_frequent))
-    shards = int((places or 0) * (WINDOW + 7) // SHARD_WORDS) + 1
-    found = _stretches(docs, often, frequent, shards).withColumn("k", F.xxhash64("words")).withColumn("g", F.hash("words"))
-    found = cut(found)
-    first = found.groupBy("shard", "name", "words", "k", "g").agg(F.min(F.struct("id", "start")).alias("first"), F.min("alone").alias("alone"), F.count("*").alias("n"))
+    found = cut(_stretches(docs, often, frequent))
+    first = found.groupBy("name", "key").agg(F.min(F.struct("id", "start")).alias("first"), F.min("alone").alias("alone"), F.count("*").alias("n"))
     first = cut(first)
-    copied = first.where("n > 1").select("k", "g", F.col("first.id").alias("id0"), F.col("first.start").alias("start0"))
-    copies = found.join(cut(copied), ["k", "g"]).where(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("start") == F.col("start0")))).select("id", "start", "n_words")
-    held = first.select("shard", "name", "alone", F.col("first.id").alias("id"), F.col("first.start").alias("start"), "words")
+    copied = first.where("n > 1").select("name", "key", F.col("first.id").alias("id0"), F.col("first.start").alias("start0"))
+    copies = found.join(cut(copied), ["name", "key"]).where(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("start") == F.col("start0")))).select("id", "start", "n_words")
+    varied = first.groupBy("name").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("alone").alias("alone"))
+    varied = cut(varied.where("texts > 1 or not alone"))
+    n, stretches = varied.agg(F.count("*"), F.sum("n")).first()
+    shards = int((stretches or 0) * (WINDOW + 7) // SHARD_WORDS) + 1
+    held = _worded(docs, spark.sparkContext.broadcast(NameFilter.of(varied, n)), frequent, shards)
     held = held.repartition("shard").sortWithinPartitions("shard", "id", "start")
     return copies.unionByName(_search(held, kind))
 
