@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heappop, heappush
 from math import ceil
 
 import numpy as np
@@ -74,34 +73,72 @@ class MTree:
         node.radius = np.array([self._far(g, self.lifted[s]).max() for s, g in zip(seeds, groups)])
         return node
 
-    def search(self, query: np.ndarray, own, k: int, known: float = -np.inf) -> list[tuple]:
-        """(score, id) of the k best of this tree that score at least known, ties to smaller ids; own is left out."""
-        q = query.astype(np.float64)
-        qq = float(q @ q)
-        best: list[tuple] = []
-        limit = self.space.limit(qq, known)
-        heap = [(0.0, 0, self.top, float(self.space.distance(qq, self.center[:-1] @ q)))]
-        n = 0
-        while heap:
-            bound, _, node, far = heappop(heap)
-            if bound > limit:
-                break
-            at = np.flatnonzero(np.abs(far - node.parent) - node.radius <= limit)  # without computing a distance
-            self.computed += len(at)
+    def _limits(self, qq: np.ndarray, score: np.ndarray) -> np.ndarray:
+        out = np.full(len(qq), np.inf)
+        some = score > -np.inf
+        out[some] = self.space.distance(qq[some], score[some]) * (1 + 1e-9) + 1e-6 * (1 + self.space.square) ** 0.5
+        return out
+
+    def _leaves(self, q: np.ndarray, qq: np.ndarray, limit: np.ndarray):
+        """Which leaf pages each query may need: (query, leaf, least distance, distance to its routing object). A routing
+        object's distance is only computed for queries that the stored distances don't rule out."""
+        far = self.space.distance(qq, q @ self.center[:-1])
+        open_, out = [(self.top, np.arange(len(q)), np.zeros(len(q)), far)], []
+        while open_:
+            node, rows, low, far = open_.pop()
             if node.children is None:
-                rows = node.at[at]
-                found = [(s, i) for s, i in zip((self.vectors[rows] @ query).tolist(), self.ids[rows].tolist()) if s >= known and i != own]
-                best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
-                if len(best) == k:
-                    limit = min(limit, self.space.limit(qq, best[-1][0]))
+                out.append((rows, node, low, far))
                 continue
-            d = self.space.distance(qq, self.lifted[node.at[at], :-1] @ q)
-            for j, x in zip(at.tolist(), d.tolist()):
-                low = max(0.0, x - node.radius[j])
-                if low <= limit:
-                    n += 1
-                    heappush(heap, (low, n, node.children[j], x))
-        return best
+            near = np.abs(far[:, None] - node.parent) - node.radius <= limit[rows, None]
+            for j, child in enumerate(node.children):
+                at = np.flatnonzero(near[:, j])
+                if len(at):
+                    self.computed += len(at)
+                    d = self.space.distance(qq[rows[at]], q[rows[at]] @ self.lifted[node.at[j], :-1])
+                    least = np.maximum(d - node.radius[j], 0)
+                    keep = least <= limit[rows[at]]
+                    open_.append((child, rows[at][keep], least[keep], d[keep]))
+        return out
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids), a row per query: the k best of this tree that score at least known, ties to smaller ids, without
+        the query's own id; places that stay empty have the least score. Each query takes its leaf pages from the
+        nearest on and stops at the first beyond its bound; all queries go step by step together, a page at a time."""
+        q = queries.astype(np.float64)
+        qq = (q**2).sum(1)
+        exact = self.space.square * max(1.0, float(qq.max(initial=0))) < 2.0**100  # |q.x| < 2^50
+        none = np.iinfo(np.int64).min
+        best, ids = np.full((len(q), k), none), np.full((len(q), k), np.iinfo(np.int64).max)
+        limit = self._limits(qq, known)
+        pages = self._leaves(q, qq, limit)
+        query = np.concatenate([p[0] for p in pages])
+        page = np.concatenate([np.full(len(p[0]), i) for i, p in enumerate(pages)])
+        low, far = (np.concatenate([p[i] for p in pages]) for i in (2, 3))
+        order = np.lexsort((low, query))
+        query, page, low, far = query[order], page[order], low[order], far[order]
+        turn = np.arange(len(query)) - np.searchsorted(query, query)
+        for step in range(int(turn.max(initial=-1)) + 1):
+            now = np.flatnonzero((turn == step) & (low <= limit[query]))
+            for i in np.unique(page[now]).tolist():
+                at, node = now[page[now] == i], pages[i][1]
+                may = np.abs(far[at][:, None] - node.parent) <= limit[query[at], None]
+                rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+                if not len(rows):
+                    continue
+                x, entries = query[at[rows]], node.at[cols]
+                self.computed += len(rows) * len(cols)
+                score = (q[x] @ self.vectors[entries].astype(np.float64).T).astype(np.int64) if exact else queries[x] @ self.vectors[entries].T
+                score = np.where((score >= known[x, None]) & (self.ids[entries] != own[x, None]), score, none)
+                better = score.max(1) >= best[x, -1]
+                x, score = x[better], score[better]
+                both = np.hstack([best[x], score])
+                names = np.hstack([ids[x], np.broadcast_to(self.ids[entries], score.shape)])
+                names[both == none] = np.iinfo(np.int64).max
+                take = np.lexsort((names, ~both), axis=1)[:, :k]  # ~x falls as x rises, without overflow
+                best[x], ids[x] = np.take_along_axis(both, take, 1), np.take_along_axis(names, take, 1)
+                full = best[x, -1] > none
+                limit[x[full]] = np.minimum(limit[x[full]], self._limits(qq[x[full]], best[x[full], -1].astype(np.float64)))
+        return best, ids
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -189,12 +226,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "id",
     def solve(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         x, ids, asks = _matrix(t.column("v").chunk(0), width), t.column("id").to_numpy(), t.column("q").to_numpy()
-        known, out = t.column("known").to_numpy(), []
+        out = np.empty((3, 0), np.int64)
         if asks.any() and not asks.all():
-            tree = MTree(ids[~asks], x[~asks], space)
-            for i in np.flatnonzero(asks).tolist():
-                out += [(ids[i], e, s) for s, e in tree.search(x[i], ids[i], k, known[i])]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], ["query_id", "id", "score"])
+            score, found = MTree(ids[~asks], x[~asks], space).search(x[asks], ids[asks], k, t.column("known").to_numpy()[asks])
+            out = np.stack([np.repeat(ids[asks], k), found.ravel(), score.ravel()])[:, score.ravel() > np.iinfo(np.int64).min]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["query_id", "id", "score"])
 
     units = held.unionByName(asked).repartition("cell", "shard", "block").sortWithinPartitions("cell", "shard", "block", "q")
     found = units.mapInArrow(run, "query_id long, id long, score long")

@@ -148,8 +148,7 @@ def test_tree_skips_distances():
     centers = rng.integers(-500, 500, (20, 6))
     v = centers[rng.integers(0, 20, 500)] + rng.integers(-4, 5, (500, 6))
     tree = MTree(np.arange(500), v, Space(float((v.astype(float) ** 2).sum(1).max())))
-    for q in v[:20]:
-        tree.search(q, -1, 5)
+    tree.search(v[:20], np.full(20, -1), 5, np.full(20, -np.inf))
     assert tree.computed < 20 * 500 * 0.7
 
 
