@@ -31,10 +31,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays (documents with a null id stay, too);
-    rows that repeat an id are one document."""
+    rows that repeat an id are one document. The ids that stay grow with the input, so they are not broadcast."""
     found = near_duplicates(docs)
     kept = cut(found.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct())
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
