@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxspark.llm.common import WordHash, bound_arrow, cut, mix, ngram_hash, text_slices
+from ctxspark.llm.common import bound_arrow, cut, mix, ngram_hash, text_slices
 
 #: Words of a window, and of the runs whose smallest hash names a window's shard.
 WINDOW, RUN = 20, 6
@@ -134,10 +135,8 @@ class TextKeys:
         self.sums, self.back = [], []
         for base in _BASES:
             n = len(h) + 1
-            power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]))
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            self.back.append(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse)])))
-            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ base) * power[:-1], dtype=np.uint64)]))
+            self.back.append(_powers_to(pow(int(base), -1, 1 << 64), n))
+            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ base) * _powers_to(int(base), n)[: n - 1], dtype=np.uint64)]))
 
     def of(self, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         return [mix((s[first + n] - s[first]) * b[first] + n.astype(np.uint64)) for s, b in zip(self.sums, self.back)]
@@ -171,21 +170,52 @@ class NameFilter:
         return NameFilter(bits)
 
 
-def _hashed(texts: list[bytes], hash_of: WordHash):
-    words = [t.split() for t in texts]
-    count = np.fromiter(map(len, words), np.int64, len(words))
-    flat = [w for own in words for w in own]
-    return flat, hash_of.of(flat), np.repeat(np.arange(len(words)), count), np.cumsum(count) - count
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Bytes of texts that are hashed at a time.
+HASHED_BYTES = 1 << 20
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, size: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]))
+
+
+def _powers_to(base: int, n: int) -> np.ndarray:
+    """The first n powers or more; kept by powers of two."""
+    return _powers(base, 1 << max(16, n.bit_length()))
+
+
+class HashedWords:
+    """The words of several texts, found and hashed in numpy: hash, text (owner), first word of each text (begin)."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b" " + b" ".join(texts) + b" "
+        b = np.frombuffer(self.raw, np.uint8)
+        edge = np.flatnonzero(np.diff(_SPACE[b])) + 1
+        self.start, self.end = edge[::2], edge[1::2]
+        base = int(_BASES[0])
+        sums = np.cumsum(_LETTER[b] * _powers_to(base, len(b))[: len(b)], dtype=np.uint64)
+        back = _powers_to(pow(base, -1, 1 << 64), len(b))[self.start]
+        self.hash = mix((sums[self.end - 1] - sums[self.start - 1]) * back + (self.end - self.start).astype(np.uint64))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        last = np.searchsorted(self.start, np.cumsum(sizes + 1) + 1)
+        count = np.diff(np.concatenate([[0], last]))
+        self.owner, self.begin = np.repeat(np.arange(len(texts)), count), last - count
+
+    def words(self, first: int, n: int) -> bytes:
+        """So many words from one on, joined by one space."""
+        return b" ".join(self.raw[self.start[first] : self.end[first + n - 1]].split())
 
 
 def _name_counts(docs: DataFrame) -> DataFrame:
     """(name, places) in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = WordHash()
-        for _, texts in text_slices(batches):
-            _, h, owner, _ = _hashed(texts, hash_of)
-            _, _, name, places = window_names(h, owner)
+        for _, texts in text_slices(batches, limit=HASHED_BYTES):
+            w = HashedWords(texts)
+            _, _, name, places = window_names(w.hash, w.owner)
             names, flat = np.unique(name, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(flat, places, minlength=len(names)).astype(np.int64))], ["name", "places"])
 
@@ -197,21 +227,21 @@ def _stretches(docs: DataFrame, often, frequent) -> DataFrame:
     by themselves, if it is frequent. alone: nothing in the stretch can repeat within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of, repeats, many = WordHash(), often.value, frequent.value
-        for rows, texts in text_slices(batches):
-            _, h, owner, begin = _hashed(texts, hash_of)
-            first, size, name, places = window_names(h, owner)
+        repeats, many = often.value, frequent.value
+        for rows, texts in text_slices(batches, limit=HASHED_BYTES):
+            w = HashedWords(texts)
+            first, size, name, places = window_names(w.hash, w.owner)
             keep = repeats.has(name)
             first, size, name, places = first[keep], size[keep], name[keep], places[keep]
-            keys, hot = TextKeys(h), many.has(name)
+            keys, hot = TextKeys(w.hash), many.has(name)
             a, n, alone = first[~hot], size[~hot] + WINDOW - 1, places[~hot] == 1
             single = np.arange(int(size[hot].sum())) + np.repeat(first[hot] - (np.cumsum(size[hot]) - size[hot]), size[hot])
             key, other = keys.of(np.concatenate([a, single]), np.concatenate([n, np.full(len(single), WINDOW)]))
             a, n = np.concatenate([a, single]), np.concatenate([n, np.full(len(single), WINDOW)])
             name = np.concatenate([name[~hot], other[len(a) - len(single) :]])
             alone = np.concatenate([alone, np.ones(len(single), bool)])
-            doc = owner[a] if len(a) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key.view(np.int64)), pa.array(alone), rows.column(0).take(pa.array(doc)), pa.array((a - begin[doc]).astype(np.int64)), pa.array(n.astype(np.int64))], ["name", "key", "alone", "id", "start", "n_words"])
+            doc = w.owner[a]
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key.view(np.int64)), pa.array(alone), rows.column(0).take(pa.array(doc)), pa.array((a - w.begin[doc]).astype(np.int64)), pa.array(n.astype(np.int64))], ["name", "key", "alone", "id", "start", "n_words"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(run, f"name long, key long, alone boolean, id {kind}, start long, n_words long")
@@ -221,15 +251,14 @@ def _worded(docs: DataFrame, varied, frequent, shards: int) -> DataFrame:
     """(shard, name, alone, id, start, words): the text of the stretches whose name is varied and not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = WordHash()
-        for rows, texts in text_slices(batches):
-            flat, h, owner, begin = _hashed(texts, hash_of)
-            first, size, name, places = window_names(h, owner)
+        for rows, texts in text_slices(batches, limit=HASHED_BYTES):
+            w = HashedWords(texts)
+            first, size, name, places = window_names(w.hash, w.owner)
             keep = varied.value.has(name) & ~frequent.value.has(name)
             a, n, name, alone = first[keep], size[keep] + WINDOW - 1, name[keep], places[keep] == 1
-            words = [b" ".join(flat[x : x + k]) for x, k in zip(a.tolist(), n.tolist())]
-            doc = owner[a] if len(a) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((name % np.uint64(shards)).astype(np.int32)), pa.array(name.view(np.int64)), pa.array(alone), rows.column(0).take(pa.array(doc)), pa.array((a - begin[doc]).astype(np.int64)), pa.array(words, pa.binary())], ["shard", "name", "alone", "id", "start", "words"])
+            words = [w.words(x, k) for x, k in zip(a.tolist(), n.tolist())]
+            doc = w.owner[a]
+            yield pa.RecordBatch.from_arrays([pa.array((name % np.uint64(shards)).astype(np.int32)), pa.array(name.view(np.int64)), pa.array(alone), rows.column(0).take(pa.array(doc)), pa.array((a - w.begin[doc]).astype(np.int64)), pa.array(words, pa.binary())], ["shard", "name", "alone", "id", "start", "words"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(run, f"shard int, name long, alone boolean, id {kind}, start long, words binary")

@@ -359,3 +359,16 @@ def test_digest_matches_kept_words(spark, real):
 
     r = dedup_passages(real).withColumn("d", F.sha2("kept", 256)).where("n_removed > 0").first()
     assert r.d == hashlib.sha256(r.kept.encode()).hexdigest()
+
+
+def test_words_found_in_numpy(edge):
+    from ctxspark.llm.fmindex import HashedWords
+
+    rows = [(t or "").encode() for _, t in texts(edge)]
+    for part in (rows, rows[:1], [b""], [b"", b" ", b""], [b"a", b"", b"a b\x0bc\x1cd a"]):
+        w = HashedWords(part)
+        flat = [(i, x) for i, t in enumerate(part) for x in t.split()]
+        assert w.owner.tolist() == [i for i, _ in flat]
+        assert [w.words(k, 1) for k in range(len(flat))] == [x for _, x in flat]
+        assert len(set(zip(w.hash.tolist(), (x for _, x in flat)))) == len({x for _, x in flat}) == len(set(w.hash.tolist()))
+        assert all(w.owner[b] == i for i, b in enumerate(w.begin.tolist()) if part[i].split())
