@@ -213,6 +213,20 @@ def export_counts(spark, sf_dir):
 
 # conversation memory, over messages derived from structured rows
 
+
+def query_of_messages(sql: str):
+    """Registers f(messages) twice: under its name over the half of the messages whose atoms the SQL spells out, and as
+    NAME_whole over every message; tests hold the latter against the plain model."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spoken(spark, sf_dir).where("message_id % 8 < 4"))
+        QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(spoken(spark, sf_dir))
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 _SAID = """CASE c_custkey % 8 WHEN 0 THEN 'I live in ' || n_name || '.' WHEN 1 THEN 'Actually I moved to ' || n_name || '!' WHEN 2 THEN 'I like cafes in ' || n_name
  WHEN 3 THEN 'Never share the password of ' || c_name WHEN 4 THEN 'We decided to ship ' || c_mktsegment || ' parts. Done.' WHEN 5 THEN 'Should ' || c_name || ' join the dog project?'
  WHEN 6 THEN 'TODO: fix the ' || n_name || ' benchmark; soon' ELSE 'Nothing to note about ' || c_name END"""
@@ -263,9 +277,8 @@ _ATOMS = """u AS (SELECT context, ordinal, message_id, text, CASE c_rule WHEN 0
   FROM (SELECT *, message_id % 8 AS c_rule FROM m) WHERE c_rule < 4)"""
 
 
-@query(f"WITH {_MESSAGES}, {_ATOMS} SELECT message_id, key, value FROM u")
-def extract_atoms(spark, sf_dir):
-    rows = spoken(spark, sf_dir).where("message_id % 8 < 4")
+@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS} SELECT message_id, key, value FROM u")
+def extract_atoms(rows):
     return rows.select("message_id", F.explode(E.atoms(F.col("text"))).alias("a")).select("message_id", "a.key", "a.value")
 
 
@@ -275,17 +288,17 @@ def extract_all_atoms(spark, sf_dir):
     return spoken(spark, sf_dir).select("message_id", F.posexplode(E.atoms(F.col("text"))).alias("place", "a")).select("message_id", "place", "a.*")
 
 
-def _atoms(spark, sf_dir) -> DataFrame:
-    return V.with_status(E.exploded(E.messages(spoken(spark, sf_dir).where("message_id % 8 < 4"))))
+def _atoms(rows) -> DataFrame:
+    return V.with_status(E.exploded(E.messages(rows)))
 
 
 _STATUS = "r AS (SELECT *, coalesce(value <> lag(value) OVER (PARTITION BY context, key ORDER BY ordinal), false)::INT AS new FROM u), q AS (SELECT *, sum(new) OVER (PARTITION BY context, key ORDER BY ordinal) AS run FROM r), st AS (SELECT *, CASE WHEN run = max(run) OVER (PARTITION BY context, key) THEN 'active' ELSE 'invalidated' END AS status FROM q)"
 _BY = "LEFT JOIN (SELECT context, key, run - 1 AS run, min(ordinal) AS first FROM q GROUP BY 1, 2, 3) n USING (context, key, run)"
 
 
-@query(f"WITH {_MESSAGES}, {_ATOMS}, {_STATUS} SELECT st.message_id, st.key, status, 'message_' || CAST(first AS VARCHAR) AS invalidated_by FROM st {_BY}")
-def invalidate_window(spark, sf_dir):
-    return _atoms(spark, sf_dir).select(F.col("ordinal").alias("message_id"), "key", "status", "invalidated_by")
+@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS}, {_STATUS} SELECT st.message_id, st.key, status, 'message_' || CAST(first AS VARCHAR) AS invalidated_by FROM st {_BY}")
+def invalidate_window(rows):
+    return _atoms(rows).select(F.col("ordinal").alias("message_id"), "key", "status", "invalidated_by")
 
 
 _ALIASES = {"puppy": "dog", "dog": "pets", "a": "b", "b": "a"}
@@ -305,15 +318,15 @@ _UTILITY = f"""CASE WHEN contains('{QUERY_TEXT}', lower(value)) THEN 40 ELSE 0 E
  + CASE WHEN key = 'user_preference' THEN 60 ELSE 0 END + CASE WHEN key = 'user_preference' AND {_any("value", R.FOOD_VALUE)} THEN 90 ELSE 0 END"""
 
 
-@query(f"WITH {_MESSAGES}, {_ATOMS}, {_STATUS} SELECT message_id, CAST({_UTILITY} AS INT) AS utility FROM st WHERE status = 'active'")
-def utility_rank(spark, sf_dir):
-    active = _atoms(spark, sf_dir).where("status = 'active'")
+@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS}, {_STATUS} SELECT message_id, CAST({_UTILITY} AS INT) AS utility FROM st WHERE status = 'active'")
+def utility_rank(rows):
+    active = _atoms(rows).where("status = 'active'")
     return active.select(F.col("ordinal").alias("message_id"), V.utility(F.lit(QUERY_TEXT)).alias("utility"))
 
 
-@query(f"WITH {_MESSAGES}, {_ATOMS} SELECT max(message_id) AS message_id, key, lower(value) AS value FROM u GROUP BY 2, 3")
-def diversity_dedupe(spark, sf_dir):
-    atoms = _atoms(spark, sf_dir).withColumn("utility", F.lit(1))
+@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS} SELECT max(message_id) AS message_id, key, lower(value) AS value FROM u GROUP BY 2, 3")
+def diversity_dedupe(rows):
+    atoms = _atoms(rows).withColumn("utility", F.lit(1))
     return V.diverse(atoms, ()).select(F.col("ordinal").alias("message_id"), "key", X.lower(F.col("value")).alias("value"))
 
 
@@ -328,22 +341,22 @@ def budget_fill(spark, sf_dir):
     return V.fill_budget(V.ranked(rows), 200).select("context", "message_id")
 
 
-@query(f"WITH {_MESSAGES}, {_ATOMS} SELECT message_id, CASE WHEN key LIKE '%security' THEN 'constraint ' || key || '={R.REDACTED}' ELSE CASE WHEN key = 'user_location' THEN 'fact ' ELSE 'preference ' END || key || '=' || value END AS line FROM u")
-def redact_render(spark, sf_dir):
-    return _atoms(spark, sf_dir).select(F.col("ordinal").alias("message_id"), V.rendered(False).alias("line"))
+@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS} SELECT message_id, CASE WHEN key LIKE '%security' THEN 'constraint ' || key || '={R.REDACTED}' ELSE CASE WHEN key = 'user_location' THEN 'fact ' ELSE 'preference ' END || key || '=' || value END AS line FROM u")
+def redact_render(rows):
+    return _atoms(rows).select(F.col("ordinal").alias("message_id"), V.rendered(False).alias("line"))
 
 
-@query(f"WITH {_MESSAGES}, {_ATOMS} SELECT 'main' AS tab, CAST((SELECT count(*) FROM m WHERE message_id % 8 < 4) AS VARCHAR) AS messages, CAST(count(*) AS VARCHAR) AS atoms, CAST((SELECT max(message_id) FROM m WHERE message_id % 8 < 4) AS VARCHAR) AS last_message FROM u")
-def show_tabs(spark, sf_dir):
-    messages = E.messages(spoken(spark, sf_dir).where("message_id % 8 < 4"))
+@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS} SELECT 'main' AS tab, CAST((SELECT count(*) FROM m WHERE message_id % 8 < 4) AS VARCHAR) AS messages, CAST(count(*) AS VARCHAR) AS atoms, CAST((SELECT max(message_id) FROM m WHERE message_id % 8 < 4) AS VARCHAR) AS last_message FROM u")
+def show_tabs(rows):
+    messages = E.messages(rows)
     return store.tabs(messages, V.with_status(E.exploded(messages)), {}).select("tab", "messages", "atoms", "last_message")
 
 
-@query(f"""WITH {_MESSAGES}, {_ATOMS} SELECT 'ConversationMessage' AS schema, 'message_' || CAST(message_id AS VARCHAR) AS source_id, CASE WHEN {_any("text", R.CONFIDENTIAL_TERMS)} THEN '{R.REDACTED}' ELSE text END AS value, '0:' || CAST(strlen(text) AS VARCHAR) AS source_span FROM m WHERE message_id % 8 < 4
+@query_of_messages(f"""WITH {_MESSAGES}, {_ATOMS} SELECT 'ConversationMessage' AS schema, 'message_' || CAST(message_id AS VARCHAR) AS source_id, CASE WHEN {_any("text", R.CONFIDENTIAL_TERMS)} THEN '{R.REDACTED}' ELSE text END AS value, '0:' || CAST(strlen(text) AS VARCHAR) AS source_span FROM m WHERE message_id % 8 < 4
 UNION ALL SELECT 'ContextAtom', 'message_' || CAST(message_id AS VARCHAR), CASE WHEN key LIKE '%security' THEN 'constraint ' || key || '={R.REDACTED}' ELSE CASE WHEN key = 'user_location' THEN 'fact ' ELSE 'preference ' END || key || '=' || value END,
  CASE message_id % 8 WHEN 0 THEN '10:' || CAST(strlen(text) - 1 AS VARCHAR) WHEN 1 THEN '20:' || CAST(strlen(text) - 1 AS VARCHAR) WHEN 2 THEN '7:' || CAST(strlen(text) AS VARCHAR) ELSE '6:' || CAST(strlen(text) AS VARCHAR) END FROM u""")
-def show_objects(spark, sf_dir):
-    messages = E.messages(spoken(spark, sf_dir).where("message_id % 8 < 4"))
+def show_objects(rows):
+    messages = E.messages(rows)
     found = store.objects(messages, V.with_status(E.exploded(messages)), {})
     return found.select("schema", F.when(F.col("source") == "", F.col("object_id")).otherwise(F.col("source")).alias("source_id"), "value", "source_span")
 
@@ -357,9 +370,9 @@ def schema_registry(spark, sf_dir):
     return store.schema_registry(spark)
 
 
-@query(f"WITH {_MESSAGES}, {_ATOMS}, {_STATUS} SELECT context, count(*) AS scanned, count(*) FILTER (status = 'invalidated') AS invalidated, count(*) FILTER (status = 'active') AS active FROM st GROUP BY 1")
-def explain_counts(spark, sf_dir):
-    a = _atoms(spark, sf_dir)
+@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS}, {_STATUS} SELECT context, count(*) AS scanned, count(*) FILTER (status = 'invalidated') AS invalidated, count(*) FILTER (status = 'active') AS active FROM st GROUP BY 1")
+def explain_counts(rows):
+    a = _atoms(rows)
     return a.groupBy("context").agg(F.count("*").alias("scanned"), F.count_if(F.col("status") == "invalidated").alias("invalidated"), F.count_if(F.col("status") == "active").alias("active"))
 
 
