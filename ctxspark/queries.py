@@ -65,7 +65,9 @@ TEXTS = {
     "concat_real": ("slay s_suppkey, 'q=' || (s_suppkey / 4.0) lowkey t no-cap supplier", "SELECT s_suppkey, 'q=' || regexp_replace(CAST(s_suppkey / 4.0 AS VARCHAR), '\\.?0+$', '') AS t FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT s_suppkey, 'q=' || CAST(s_suppkey // 4 AS VARCHAR) FROM supplier WHERE s_suppkey % 4 = 0"),
     "const_fold": ("slay r_name, 2 * 3 + 4 lowkey ten no-cap region only-if 1 + 1 = 2 cap-at 2 + 3", "SELECT r_name, CAST(10 AS BIGINT) AS ten FROM region"),
     "order_multi": ("slay n_regionkey, n_name no-cap nation hits-different n_regionkey down-bad, n_name cap-at 12", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name LIMIT 12"),
+    "order_multi_whole": ("slay n_regionkey, n_name no-cap nation hits-different n_regionkey down-bad, n_name", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name"),
     "order_alias": ("slay o_orderkey, o_totalprice * 2 lowkey twice no-cap orders hits-different twice down-bad, o_orderkey cap-at 20", "SELECT o_orderkey, round(o_totalprice * 2, 4) AS twice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"),
+    "order_alias_whole": ("slay o_orderkey, o_totalprice * 2 lowkey twice no-cap orders hits-different twice down-bad, o_orderkey", "SELECT o_orderkey, round(o_totalprice * 2, 4) AS twice FROM orders ORDER BY o_totalprice DESC, o_orderkey"),
     "top_k": ("slay o_orderkey, o_totalprice no-cap orders hits-different o_totalprice down-bad, o_orderkey cap-at 25", "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
     "limit_offset": ("slay c_custkey no-cap customer hits-different c_custkey cap-at 10 skip 30", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 30"),
     "distinct_rows": ("slay unique-fr l_returnflag, l_linestatus no-cap lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
@@ -108,6 +110,7 @@ TEXTS = {
     "rank_partition": ("slay c_custkey, era split-by c_nationkey hits-different c_acctbal lowkey r no-cap customer", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS r FROM customer"),
     "rank_desc_ties": ("slay l_orderkey, l_linenumber, era split-by l_suppkey hits-different l_quantity down-bad lowkey r no-cap lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS r FROM lineitem"),
     "rank_after_filter": ("slay o_orderkey, era split-by o_orderstatus hits-different o_totalprice lowkey r no-cap orders only-if o_totalprice > 100000 hits-different o_orderkey cap-at 50", "SELECT o_orderkey, r FROM (SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS r FROM orders WHERE o_totalprice > 100000) ORDER BY o_orderkey LIMIT 50"),
+    "rank_after_filter_whole": ("slay o_orderkey, era split-by o_orderstatus hits-different o_totalprice lowkey r no-cap orders only-if o_totalprice > 100000 hits-different o_orderkey", "SELECT o_orderkey, r FROM (SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS r FROM orders WHERE o_totalprice > 100000) ORDER BY o_orderkey"),
 }
 
 for _name, (_text, _sql) in TEXTS.items():
