@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxspark.llm.common import cut
+from ctxspark.llm.components import components
 from ctxspark.llm.decontam import keep_uncontaminated
 from ctxspark.llm.linededup import remove_boilerplate
+from ctxspark.llm.minhash import similar_texts
 from ctxspark.llm.packing import pack
 from ctxspark.llm.queries import packed, table, toxicity_model
 from ctxspark.llm.simhash import near_duplicates
@@ -31,9 +33,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays (documents with a null id stay, too);
-    rows that repeat an id are one document. The ids that stay grow with the input, so they are not broadcast."""
-    found = near_duplicates(docs)
-    kept = cut(found.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct())
+    rows that repeat an id are one document. Documents are linked by fingerprints within op9's radius and by a Jaccard
+    similarity of five-word shingles of 0.8 or more. The ids that stay grow with the input, so they are not broadcast."""
+    found = cut(near_duplicates(docs).select("id", F.col("component").alias("low")))
+    links = found.unionByName(similar_texts(docs)).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    groups = cut(components(links).where("node <> root"))
+    kept = cut(found.where("id is not null").select(F.col("id").alias("doc_id")).distinct().join(groups, F.col("doc_id") == F.col("node"), "left_anti"))
     named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
