@@ -37,7 +37,7 @@ TEMPLATES = (
 )
 #: Share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.85
-#: A line of more words is cut into overlapping blocks: so many words, so far apart.
+#: A line (or whole text) of more words is cut into overlapping blocks: so many words, so far apart.
 BLOCK_WORDS, BLOCK_STEP = 64, 32
 
 #: Words: runs of ASCII letters and digits and of anything beyond ASCII.
@@ -88,7 +88,8 @@ def token_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
 
 
 def template_matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """docs (id, text) to (id, line, block, label, share): the best templates of each block that holds the share.
+    """docs (id, text) to (id, line, block, label, share): the best templates of each block that holds the share. After a
+    text's lines the whole text counts as one more, so that notices wrapped over lines lie in its blocks.
 
     Words are ordered by their frequency in all texts. A block that holds enough of a template shares a word with its
     prefix (its so many rarest words), so blocks meet templates on prefix words only (prefix filter), and a pair goes
@@ -104,7 +105,9 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, containment: float =
     spark = docs.sparkSession
     prefixes = spark.createDataFrame(rows, "word string, template int, label string, i int, n int, need int, own array<string>")
     gate = F.lit(f"(?i)(?<!{_IN})(?:{'|'.join(sorted({r[0] for r in rows}))})(?!{_IN})")
-    lines = docs.where(F.regexp_like("text", gate)).select("id", F.posexplode(F.split("text", "\n")).alias("line", "row")).where(F.regexp_like("row", gate))
+    rows = F.split("text", "\n")
+    rows = F.when(F.size(rows) > 1, F.array_append(rows, F.col("text"))).otherwise(rows)
+    lines = docs.where(F.regexp_like("text", gate)).select("id", F.posexplode(rows).alias("line", "row")).where(F.regexp_like("row", gate))
     words = lines.select("id", "line", _all(F.lower("row")).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - BLOCK_STEP - 1, F.lit(0)), F.lit(BLOCK_STEP))
     blocks = words.select("id", "line", "w", F.explode(starts).alias("block")).select("id", "line", "block", F.array_intersect(F.array(*map(F.lit, order)), F.slice("w", F.col("block") + 1, BLOCK_WORDS)).alias("has"))
