@@ -1,6 +1,5 @@
 """Each operator against a brute-force version, on edge cases and on real rows."""
 
-import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +7,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 
 def texts(df):
@@ -168,67 +166,6 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert got == {n: n - 1 for n in range(40, 45)}
 
 
-# 6: substring dedup
-
-
-def brute_passages(rows, window=20):
-    rows = [(i, [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]) for i, t in rows]
-    first = {}
-    for i, w in rows:
-        for k in range(len(w) - window + 1):
-            at = (i is not None, i or 0, k)
-            g = tuple(w[k : k + window])
-            first[g] = min(first.get(g, at), at)
-    out = Counter()
-    for i, w in rows:
-        gone = {k + d for k in range(len(w) - window + 1) for d in range(window) if i is not None and first[tuple(w[k : k + window])] < (True, i, k)}
-        out[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
-    return out
-
-
-def test_substring_dedup(spark, edge, nothing, real):
-    from ctxspark.llm.fmindex import dedup_passages
-
-    for df in (edge, real):
-        assert Counter((r.id, r.n_words, r.n_removed, r.kept) for r in dedup_passages(df).collect()) == brute_passages(texts(df))
-    assert dedup_passages(nothing).count() == 0
-
-
-def test_frequent_passages(spark, monkeypatch):
-    """A passage in many texts, with other words around it, and a periodic text."""
-    import random
-
-    from ctxspark.llm import fmindex
-
-    r = random.Random(2)
-    word = lambda: r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randint(0, 400))
-    passage = [word() for _ in range(26)]
-    rows = [(i, " ".join([word() for _ in range(9)] + passage[i % 3 : 24 + i % 3] + [word() for _ in range(7)])) for i in range(300)]
-    rows += [(900, "x y " * 40), (901, "x y " * 15), (902, "z " * 21), (903, "z " * 20)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    monkeypatch.setattr(fmindex, "FREQUENT", 50)
-    assert Counter((x.id, x.n_words, x.n_removed, x.kept) for x in fmindex.dedup_passages(df).collect()) == brute_passages(rows)
-    monkeypatch.setattr(fmindex, "FREQUENT", 10**9)
-    monkeypatch.setattr(fmindex, "SHARD_WORDS", 500)
-    assert Counter((x.id, x.n_words, x.n_removed, x.kept) for x in fmindex.dedup_passages(df).collect()) == brute_passages(rows)
-
-
-@pytest.mark.parametrize("symbols", [2, 5, 300])
-def test_fm_index_finds_all_occurrences(symbols):
-    from ctxspark.llm.fmindex import FMIndex
-
-    rng = np.random.default_rng(symbols)
-    parts = [rng.integers(1, symbols + 1, rng.integers(1, 200)) for _ in range(20)]
-    parts += [parts[0][:60], parts[3]]
-    text = np.concatenate([np.append(p, 0) for p in parts])
-    for size in (1, 4, 20):
-        starts = np.array([k for k in range(len(text) - size + 1) if (text[k : k + size] > 0).all()])
-        index, first = FMIndex(text), {}
-        for k in starts.tolist():
-            first.setdefault(tuple(text[k : k + size]), k)
-        assert index.earlier(starts, size).tolist() == [k for k in starts.tolist() if first[tuple(text[k : k + size])] < k]
-
-
 # 7: decontamination
 
 
@@ -352,23 +289,3 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
     assert components(edges.limit(0)).count() == 0
-
-
-def test_digest_matches_kept_words(spark, real):
-    from ctxspark.llm.fmindex import dedup_passages
-
-    r = dedup_passages(real).withColumn("d", F.sha2("kept", 256)).where("n_removed > 0").first()
-    assert r.d == hashlib.sha256(r.kept.encode()).hexdigest()
-
-
-def test_words_found_in_numpy(edge):
-    from ctxspark.llm.fmindex import HashedWords
-
-    rows = [(t or "").encode() for _, t in texts(edge)]
-    for part in (rows, rows[:1], [b""], [b"", b" ", b""], [b"a", b"", b"a b\x0bc\x1cd a"]):
-        w = HashedWords(part)
-        flat = [(i, x) for i, t in enumerate(part) for x in t.split()]
-        assert w.owner.tolist() == [i for i, _ in flat]
-        assert [w.words(k, 1) for k in range(len(flat))] == [x for _, x in flat]
-        assert len(set(zip(w.hash.tolist(), (x for _, x in flat)))) == len({x for _, x in flat}) == len(set(w.hash.tolist()))
-        assert all(w.owner[b] == i for i, b in enumerate(w.begin.tolist()) if part[i].split())
