@@ -2,43 +2,57 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxspark.llm.chargrams import BUCKETS, Words
-from ctxspark.llm.common import bound_arrow, text_slices
+from ctxspark.llm.common import bound_arrow, cut, text_slices
 
 #: What a change of language costs, in the units of a word's score (mean log probability of its subwords).
 SWITCH = 6.0
-#: The bounded sample: at most so many texts of a language and of all together, none longer than so many characters.
+#: The bounded sample: at most so many languages (those of most texts) and distinct texts of each, none longer than so
+#: many characters.
+SAMPLE_LANGUAGES = 256
 SAMPLE_PER_LANGUAGE = 400
-SAMPLE_TEXTS = 20_000
 SAMPLE_CHARS = 12_000
 #: A script is a language's own if it holds this share of the letters of its sample.
 SCRIPT_SHARE = 0.02
 UNKNOWN = "und"
 
-#: Where runs of code points of one script begin (0: no letters, or letters of no one script).
-_SCRIPTS = ((0x00, 0), (0xC0, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 0), (0xB80, 9), (0xC00, 0), (0xE00, 10), (0xE80, 0), (0x10A0, 11), (0x1100, 12), (0x1200, 13), (0x1380, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 14), (0x3100, 0), (0x3400, 15), (0xA000, 0), (0xAC00, 12), (0xD7B0, 0), (0xF900, 15), (0xFB00, 0))
-_STARTS = np.array([a for a, _ in _SCRIPTS])
-_OF = np.array([s for _, s in _SCRIPTS], np.int8)
-N_SCRIPTS = 16
+#: Code points at which a run of one script begins (0: any script that has no number of its own).
+_SCRIPTS = ((0x00, 0), (0x41, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 0), (0xB80, 9), (0xC00, 0), (0xE00, 10), (0xE80, 0), (0x10A0, 11), (0x1100, 12), (0x1200, 13), (0x1380, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 14), (0x3100, 0), (0x3400, 15), (0xA000, 0), (0xAC00, 12), (0xD7B0, 0), (0xF900, 15), (0xFB00, 0))
+#: The number of letters of any other script; 0 is what has no letter.
+OTHER = 16
+N_SCRIPTS = 17
+
+
+@lru_cache(maxsize=1)
+def code_scripts() -> np.ndarray:
+    """Per code point its script if it is a letter (a Unicode category that begins with L), else 0."""
+    starts, of = np.array([a for a, _ in _SCRIPTS]), np.array([s or OTHER for _, s in _SCRIPTS], np.int8)
+    code = np.arange(sys.maxunicode + 1)
+    return of[np.searchsorted(starts, code, "right") - 1] * np.fromiter(map(str.isalpha, map(chr, code.tolist())), np.int8, len(code))
 
 
 def word_scripts(words: Words) -> np.ndarray:
-    """Per word its script: that of any letter beyond ASCII Latin, else Latin, else 0 (no letter known)."""
+    """Per word the highest script number of its letters; 0 if it has none."""
     b = words.bytes.astype(np.int32)
-    script = np.zeros(len(b), np.int8)
-    script[(b >= 0x61) & (b <= 0x7A)] = 1
-    two = np.flatnonzero((b[:-1] >= 0xC2) & (b[:-1] < 0xE0))
-    script[two] = _OF[np.searchsorted(_STARTS, ((b[two] & 0x1F) << 6) | (b[two + 1] & 0x3F), "right") - 1]
-    three = np.flatnonzero((b[:-2] >= 0xE0) & (b[:-2] < 0xF0))
-    script[three] = _OF[np.searchsorted(_STARTS, ((b[three] & 0x0F) << 12) | ((b[three + 1] & 0x3F) << 6) | (b[three + 2] & 0x3F), "right") - 1]
+    script, table = np.zeros(len(b), np.int8), code_scripts()
+    one = np.flatnonzero((b >= 0x61) & (b <= 0x7A))
+    script[one] = 1
+    for size, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF5)):
+        at = np.flatnonzero((b[: 1 - size] >= low) & (b[: 1 - size] < high))
+        code = b[at] - (low if size > 2 else 0xC0)
+        for k in range(1, size):
+            code = code << 6 | b[at + k] & 0x3F
+        script[at] = table[np.minimum(code, sys.maxunicode)]
     if not len(words.start):
         return np.empty(0, np.int8)
     both = np.stack([words.start, words.end], 1).ravel()
@@ -56,7 +70,7 @@ class LanguageModel:
 
     def word_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(words x languages, whether the word has letters). Languages that don't use the word's script are far
-        behind, unless none does; a word without letters says nothing."""
+        behind, unless none does, and subwords alone decide; a word without letters says nothing."""
         scores = np.stack(words.word_means(*self.tables), 1).astype(np.float64)
         script = word_scripts(words)
         use = self.scripts[:, script].T
@@ -67,13 +81,14 @@ class LanguageModel:
 
     def label(self, scores: np.ndarray) -> np.ndarray:
         """Viterbi: the languages of consecutive words, with switch off for each change. One language throughout is the
-        best path if no other one gains more than a switch on it over any stretch; only else the path is searched."""
+        best path if no other one gains more than half a switch on it over any stretch, since a path of m stretches has
+        m - 1 switches; only else the path is searched."""
         total = scores.sum(0)
         top = int(total.argmax())
         gain = np.cumsum(scores - scores[:, top : top + 1], axis=0)
         low = np.minimum(np.minimum.accumulate(gain, axis=0) - 0.0, 0.0)
         low = np.vstack([np.zeros(gain.shape[1]), low[:-1]])
-        if (gain - low).max() <= self.switch:
+        if (gain - low).max() <= self.switch / 2:
             return np.full(len(scores), top)
         n, width = scores.shape
         rows, best, cost = scores.tolist(), [0.0] * width, self.switch
@@ -112,8 +127,6 @@ class LanguageModel:
                 votes = np.bincount(self.label(own), minlength=len(self.languages))
                 k = int(votes.argmax())
                 out[i], share[i] = self.languages[k], votes[k] / len(own)
-            elif any(c.isalpha() for c in texts[i].decode()):
-                out[i], share[i] = self.languages[0], 1 / len(self.languages)
         return out, share
 
     def spans(self, text: bytes) -> list[tuple[int, int, str]]:
@@ -149,23 +162,26 @@ def fit(texts: list[bytes], languages: list[str], switch: float = SWITCH) -> Lan
     return LanguageModel(names, [(t - mean).astype(np.float32) for t in tables], scripts, switch)
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> tuple[list[bytes], list[str]]:
-    """docs: (text, lang). A share of each language's texts by their hash, so that about per_language come of each (fewer
-    of each if there are very many languages), none longer than chars. Rows with nulls give nothing."""
+def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, languages: int = SAMPLE_LANGUAGES, chars: int = SAMPLE_CHARS) -> tuple[list[bytes], list[str]]:
+    """docs: (text, lang). Of the languages with most distinct texts, so many at most, the per_language distinct texts of
+    the smallest hash each, none longer than chars. No more than these reach the driver, however often a text repeats;
+    rows with nulls give nothing."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= chars))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return [], []
-    each = max(1, min(per_language, most // len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * each / n + 20 / n))])
-    picked = known.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    rows = picked.select("text", "lang").collect()
+    known = known.select("lang", "text", F.xxhash64("text", F.lit(5)).alias("h"))
+    texts = cut(known.select("lang", "h").distinct())
+    most = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = texts.join(F.broadcast(most), "lang").withColumn("place", place).where(F.col("place") <= per_language).select("lang", "h")
+    # the list is bounded by its two parameters, so it may be broadcast
+    rows = known.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).collect()
     return [r.text.encode() for r in rows], [r.lang for r in rows]
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score): one row per row of docs; null, empty and letterless texts are unknown. Other columns are
-    not read; repeated rows stay; an empty table gives an empty result."""
+    """(id, lang_pred, score): one row per row of docs; null, empty and letterless texts are unknown (letters are what
+    Unicode calls so, digits and signs of any script are none). Letters of a script that no language of the sample uses
+    are judged by their subwords alone. Other columns are not read; repeated rows stay; an empty table gives an empty
+    result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, limit=1 << 20):
