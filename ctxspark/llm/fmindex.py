@@ -18,7 +18,7 @@ from ctxspark.llm.common import bound_arrow, cut, mix, ngram_hash, text_slices
 #: Words of a window, and of the runs whose smallest hash names a window's shard.
 WINDOW, RUN = 20, 6
 #: Words of a shard, about; runs that occur more often than this are dealt out window by window.
-SHARD_WORDS, FREQUENT = 150_000, 2000
+SHARD_WORDS, FREQUENT = 400_000, 2000
 #: Words of a passage at most; suffixes are sorted by one symbol more.
 LONGEST = 63
 #: Bits of a filter at most (it holds names of runs; a false positive costs time, not results).
@@ -108,37 +108,34 @@ class FMIndex:
             left[at], right[at] = less[k - 1], less[k]
         return left, right
 
-    def statistics(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def statistics(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(length, least) at each place of the streamed text, which holds passages at begin: the matching statistic,
         that is how many symbols from there on occur at two places of the index or more (the passages are in it
         themselves), and the least key of the window of them, if they are enough for one.
 
         Each passage is taken from its end by backward search; where a symbol does not extend the match, the match
-        gives up its last symbols until one does. All passages go step by step together."""
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        low, high, depth = np.zeros(len(size), np.int64), np.full(len(size), self.size, np.int64), np.zeros(len(size), np.int64)
+        gives up its last symbols until one does. A passage is left, with zeros, once no window further left can match
+        any more (but for whole). All passages go on together, each by its own next attempt."""
         length, least = np.zeros(len(text), np.int8), np.full(len(text), np.iinfo(np.int64).max)
-        for step in range(int(size[0]) if len(size) else 0):
-            active = int(np.searchsorted(-size, -step))
-            place = (begin + size - 1 - step)[:active]
-            symbol, todo = text[place], np.arange(active)
-            while len(todo):
-                c = symbol[todo]
-                jump = self.jump[c]
-                a, b = jump + self.wavelet.descend(c, low[todo]), jump + self.wavelet.descend(c, high[todo])
-                more = b - a > 1
-                grown, todo = todo[more], todo[~more]
-                low[grown], high[grown] = a[more], b[more]
-                depth[grown] += 1
-                todo = todo[depth[todo] > 0]
-                a, b = low[todo], high[todo]
-                edge = np.where(self.common[a] >= self.common[b], a, b)
-                depth[todo] = np.maximum(self.common[edge], 0)
-                low[todo], high[todo] = self.left[edge], self.right[edge]
-            length[place] = depth[:active]
-            enough = np.flatnonzero(depth[:active] >= self.window)
+        place, left = begin + size - 1, size - 1
+        low, high, depth = np.zeros(len(size), np.int64), np.full(len(size), self.size, np.int64), np.zeros(len(size), np.int64)
+        while len(place):
+            c = text[place]
+            ends = self.wavelet.descend(np.concatenate([c, c]), np.concatenate([low, high]))
+            jump = self.jump[c]
+            a, b = jump + ends[: len(c)], jump + ends[len(c) :]
+            more = b - a > 1
+            edge = np.where(self.common[low] >= self.common[high], low, high)
+            low, high = np.where(more, a, self.left[edge]), np.where(more, b, self.right[edge])
+            done = more | (depth == 0)
+            depth = np.where(more, depth + 1, np.maximum(self.common[edge], 0))
+            length[place[more]] = depth[more]
+            enough = np.flatnonzero(more & (depth >= self.window))
             least[place[enough]] = self.least[self.classes[low[enough]]]
+            place, left = place - done, left - done
+            stay = np.flatnonzero((left >= 0) & (whole | (depth + left + 1 >= self.window)))
+            if len(stay) < len(place):
+                place, left, low, high, depth = (x[stay] for x in (place, left, low, high, depth))
         return length, least
 
 
@@ -307,13 +304,12 @@ def earlier_windows(passages: list[bytes], order: np.ndarray, start: np.ndarray,
     """(passage, first word, words) of each interval that windows cover which also begin earlier: at a smaller order, or
     a smaller start and the same order. The passages are unlike each other; they are indexed, and then streamed through
     the index for their matching statistics."""
-    ids: dict[bytes, int] = {}
-    coded = [[ids.setdefault(w, len(ids) + 1) for w in s.split()] for s in passages]
-    size = np.fromiter(map(len, coded), np.int64, len(coded))
+    size = np.fromiter((x.count(b" ") + 1 for x in passages), np.int64, len(passages))
+    words = pa.array(b" ".join(passages).split(b" "), pa.binary()).dictionary_encode().indices.to_numpy()
     begin = np.cumsum(size + 1) - size - 1
     text = np.zeros(int((size + 1).sum()), np.int32)
     offset = np.arange(len(text)) - np.repeat(begin, size + 1)
-    text[offset < np.repeat(size, size + 1)] = np.fromiter((x for c in coded for x in c), np.int32, int(size.sum()))
+    text[offset < np.repeat(size, size + 1)] = words + 1
     keys = np.repeat((order << np.int64(40)) + start, size + 1) + offset
     length, least = FMIndex(text, keys, window).statistics(text, begin, size)
     hit = np.flatnonzero((length >= window) & (least < keys))

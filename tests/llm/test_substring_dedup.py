@@ -130,7 +130,7 @@ def test_matching_statistics(seed):
     size = np.array([len(p) for p in parts])
     begin = np.cumsum(size + 1) - size - 1
     text = np.concatenate([[*p, 0] for p in parts]).astype(np.int32)
-    length, _ = FMIndex(text, np.arange(len(text)), 4).statistics(text, begin, size)
+    length, _ = FMIndex(text, np.arange(len(text)), 4).statistics(text, begin, size, whole=True)
     occurs = Counter(tuple(p[i:j]) for p in parts for i in range(len(p)) for j in range(i + 1, len(p) + 1))
     for b, p in zip(begin.tolist(), parts):
         for i in range(len(p)):
