@@ -147,12 +147,11 @@ h AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(string_spli
         lambda i: array_to_string(w[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase)) AS place FROM d, p WHERE len(w) >= len(string_split(phrase, ' '))),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id),
 t AS (SELECT k, label, list_distinct(string_split(body, ' ')) AS own FROM (VALUES {templates}) x(k, body, label)),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL),
-v AS (SELECT doc_id, n, regexp_extract_all(lower(line), '{word}') AS w FROM l),
-k AS (SELECT doc_id, n, w, unnest(range(0, greatest(len(w) - {BLOCK_STEP + 1}, 0) + 1, {BLOCK_STEP})) AS block FROM v),
-s AS (SELECT doc_id, n, block, label, len(list_intersect(own, w[block + 1:block + {BLOCK_WORDS}])) AS has, len(own) AS size FROM k, t),
-m AS (SELECT *, has / size AS share, max(has / size) OVER (PARTITION BY doc_id, n, block) AS best FROM s WHERE has >= ceil({CONTAINMENT} * size - 1e-9)),
-g AS (SELECT doc_id, label, share FROM m WHERE share = best),
+k AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {BLOCK_WORDS - BLOCK_STEP + 1}, 0) + 1, {BLOCK_STEP})) AS block FROM d),
+s AS (SELECT doc_id, block, k, label, len(own) AS size, list_intersect(own, w[block + 1:block + {BLOCK_WORDS}]) AS met FROM k, t),
+m AS (SELECT *, len(met) / size AS share FROM s WHERE len(met) >= ceil({CONTAINMENT} * size - 1e-9)),
+g AS (SELECT doc_id, label, share FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE x.doc_id = y.doc_id AND x.block = y.block AND x.k <> y.k
+        AND list_has_all(y.met, x.met) AND (len(y.met) > len(x.met) OR y.share > x.share))),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM g UNION ALL SELECT doc_id, label FROM h) GROUP BY doc_id),
 c AS (SELECT doc_id, max(share) AS share FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
