@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,33 +23,55 @@ MEMO_ENTRIES = 600_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder below the shared checkpoint folder. Only where the cluster names none (tests, a
-    single machine), a temporary folder is set."""
+    """This application's folder below the shared checkpoint folder. Only on a single machine, where none is named, a
+    temporary folder is set; executors of a cluster would not share it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="ctxspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/llm/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared scratch folder and reads it back: lineage ends there, so a lost executor
-    costs no recomputation of what came before, and later readers see only the columns they use."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_SCOPE: ContextVar[tuple[str, ...]] = ContextVar("scope", default=())
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables; call it when no result that reads them is needed any more."""
+def cut(df: DataFrame, outside: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared scratch folder and reads it back: lineage ends there, so a lost executor
+    costs no recomputation of what came before, and later readers see only the columns they use. Within a scratch_scope
+    the table goes with the scope, unless it is written outside of it."""
+    spark, scope = df.sparkSession, _SCOPE.get()
+    path = "/".join([scratch_dir(spark), *(scope[:-1] if outside else scope), uuid.uuid4().hex])
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were cut within it; results that still read them must have been written."""
+    token = _SCOPE.set((*_SCOPE.get(), uuid.uuid4().hex))
+    path = "/".join([scratch_dir(spark), *_SCOPE.get()])
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        drop_scratch(spark, path)
+
+
+def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Deletes a scratch table or, without a path, all of this application's; call it when no result that reads them is
+    needed any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path = jvm.org.apache.hadoop.fs.Path(path or scratch_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_arrow(spark: SparkSession) -> None:
-    """Arrow batches are bounded in bytes, not only in rows, so that long texts don't gather in one batch."""
+    """Arrow batches are bounded in bytes, not only in rows, so that long texts don't gather in one batch. The setting
+    stays in the session, as what it bounds runs when a result is used; it changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 

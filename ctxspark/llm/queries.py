@@ -147,8 +147,9 @@ h AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(string_spli
         lambda i: array_to_string(w[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase)) AS place FROM d, p WHERE len(w) >= len(string_split(phrase, ' '))),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id),
 t AS (SELECT k, label, list_distinct(string_split(body, ' ')) AS own FROM (VALUES {templates}) x(k, body, label)),
-k AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {BLOCK_WORDS - BLOCK_STEP + 1}, 0) + 1, {BLOCK_STEP})) AS block FROM d),
-s AS (SELECT doc_id, block, k, label, len(own) AS size, list_intersect(own, w[block + 1:block + {BLOCK_WORDS}]) AS met FROM k, t),
+n AS (SELECT doc_id, w, k, label, own FROM d, t WHERE len(list_intersect(own, w)) >= ceil({CONTAINMENT} * len(own) - 1e-9)),
+o AS (SELECT *, unnest(range(0, greatest(len(w) - {BLOCK_WORDS - BLOCK_STEP + 1}, 0) + 1, {BLOCK_STEP})) AS block FROM n),
+s AS (SELECT doc_id, block, k, label, len(own) AS size, list_intersect(own, w[block + 1:block + {BLOCK_WORDS}]) AS met FROM o),
 m AS (SELECT *, len(met) / size AS share FROM s WHERE len(met) >= ceil({CONTAINMENT} * size - 1e-9)),
 g AS (SELECT doc_id, label, share FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE x.doc_id = y.doc_id AND x.block = y.block AND x.k <> y.k
         AND list_has_all(y.met, x.met) AND (len(y.met) > len(x.met) OR y.share > x.share))),
