@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxspark.llm.common import cut
+from ctxspark.llm.common import cut, drop_scratch, scratch_scope
 from ctxspark.llm.components import components
 from ctxspark.llm.decontam import keep_uncontaminated
 from ctxspark.llm.linededup import remove_boilerplate
@@ -32,15 +32,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays (documents with a null id stay, too);
-    rows that repeat an id are one document. Documents are linked by fingerprints within op9's radius and by a Jaccard
-    similarity of five-word shingles of 0.8 or more. The ids that stay grow with the input, so they are not broadcast."""
-    found = cut(near_duplicates(docs).select("id", F.col("component").alias("low")))
-    links = found.unionByName(similar_texts(docs)).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    groups = cut(components(links).where("node <> root"))
-    kept = cut(found.where("id is not null").select(F.col("id").alias("doc_id")).distinct().join(groups, F.col("doc_id") == F.col("node"), "left_anti"))
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near-duplicates the document with the smallest id stays. Documents are linked by fingerprints
+    within op9's radius and by a Jaccard similarity of five-word shingles of 0.8 or more. A document is an id with a
+    text: repeated rows are one, but unlike texts of one id are two. Rows with a null id stay and link nothing. What goes
+    grows with the input, so it is not broadcast."""
+    named = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
+    keyed = named.select(F.struct("doc_id", "__text").alias("name"), "text")
+    found = cut(near_duplicates(keyed, "name").select("id", F.col("component").alias("low")))
+    links = found.unionByName(similar_texts(keyed, "name")).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    gone = cut(components(links).where("node <> root").select(F.col("node.doc_id").alias("__id"), F.col("node.__text").alias("__of")))
+    kept = named.join(gone.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__of")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. What a stage wrote for itself goes when the stage is over, and its input with it; what the last one
+    reads stays in the scratch folder."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before = getattr(docs, "scratch_path", None)
+        with scratch_scope(spark):
+            docs = cut(stage(spark, docs, sf_dir), outside=True)
+        if before:
+            drop_scratch(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
