@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxspark.functions import sem
@@ -59,24 +59,29 @@ class Changes:
             cells = [coerced(values.get(c["name"], sem.Value(F.lit(None), "null")), c["type"]).alias(c["name"]) for c in t["columns"]]
             parts.append(F.struct(*cells, F.lit(k).cast("bigint").alias(ORD)))
         rows = one.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+        rows = self.spark.createDataFrame(rows.collect(), rows.schema)  # the statement's own rows
         return self.add(s.table, rows, len(s.rows))
 
     def add(self, table: str, rows: DataFrame, n: int) -> int:
-        """rows: the table's columns and ORD from 0 on; n: how many."""
+        """rows: the table's columns and ORD from 0 to n - 1. Only they are written, as one more part, and checked: among
+        themselves and against the keys that the table has."""
         t = self._table(table)
-        placed = positioned(rows, t["next"], str(t["version"]))
-        now = self.catalog.read(table)
-        placed = self.spark.createDataFrame(placed.select(now.columns).collect(), now.schema) if n <= 10_000 else placed.select(now.columns)
-        after = now.unionByName(placed)
-        self.validate(table, placed, after)
-        self.catalog.replace(table, after, n)
+        placed = positioned(rows, t["next"], str(t["version"])).select(self.catalog.schema(table).names)
+        self.catalog.append(table, placed, n, lambda part: self.validate(table, part, self.catalog.read(table), part))
         return n
 
     def insert_from(self, table: str, rows: DataFrame) -> int:
-        """Bulk load: any DataFrame with (some of) the table's columns."""
+        """Bulk load: any DataFrame with (some of) the table's columns. Its rows are written once, so that they stay as
+        they are, and numbered without gaps by counts per task of that writing."""
         t = self._table(table)
         cells = [coerced(sem.of(F.col(f"`{c['name']}`"), rows.schema[c["name"]].dataType), c["type"]).alias(c["name"]) if c["name"] in rows.columns else coerced(sem.literal(None), c["type"]).alias(c["name"]) for c in t["columns"]]
-        return self.add(table, rows.select(*cells, F.monotonically_increasing_id().alias(ORD)), rows.count())
+        with self.catalog.staged(table, rows.select(*cells, F.monotonically_increasing_id().alias(ORD))) as kept:
+            task, place = F.shiftright(ORD, 33), F.col(ORD).bitwiseAND(F.lit((1 << 33) - 1))
+            counts = kept.groupBy(task.alias("__task")).agg(F.count("*").alias("n"))
+            before = F.sum("n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+            starts = counts.select("__task", F.coalesce(before, F.lit(0)).alias("__start"))  # a row per task
+            numbered = kept.join(F.broadcast(starts), task == F.col("__task")).withColumn(ORD, F.col("__start") + place)
+            return self.add(table, numbered, kept.count())
 
     def update(self, s: A.Update) -> int:
         """SET expressions see the old row. Keys are checked on the final state."""
@@ -92,7 +97,7 @@ class Changes:
         n = df.where(hit).count()
         if n:
             changed = after.join(df.where(hit).select(ROWID), ROWID, "left_semi")
-            self.validate(s.table, changed, after)
+            self.validate(s.table, changed, None, after)
             for c in sets:
                 self.restrict(s.table, c, after)
             self.catalog.replace(s.table, after)
@@ -110,16 +115,21 @@ class Changes:
             self.catalog.replace(s.table, after)
         return n
 
-    def validate(self, table: str, changed: DataFrame, after: DataFrame) -> None:
-        """NOT NULL and foreign keys of the changed rows, primary key of all."""
+    def validate(self, table: str, changed: DataFrame, before: DataFrame | None, after: DataFrame) -> None:
+        """NOT NULL and foreign keys of the changed rows; the primary key of all rows after the change, or, where rows only
+        come to those before, of the new ones among themselves and against the others. after may be the new rows alone."""
         for c in self._table(table)["columns"]:
             col = F.col(f"`{c['name']}`")
             if (c["not_null"] or c["primary"]) and changed.where(col.isNull()).limit(1).count():
                 raise CatalogError(f"Column {c['name']} cannot be NULL")
-            if c["primary"] and after.groupBy(col.alias("k")).count().where("count > 1").limit(1).count():
-                raise CatalogError(f"Duplicate primary key in {table}.{c['name']}")
+            if c["primary"]:
+                keys = after.select(col.alias("k"))
+                twice = keys.groupBy("k").count().where("count > 1").limit(1).count()
+                if twice or before is not None and before.select(col.alias("k")).join(keys, "k", "left_semi").limit(1).count():
+                    raise CatalogError(f"Duplicate primary key in {table}.{c['name']}")
             if c["foreign"]:
-                there = after if c["foreign"][0] == table else self.catalog.read(c["foreign"][0])
+                own = after if before is None else before.unionByName(after)
+                there = own if c["foreign"][0] == table else self.catalog.read(c["foreign"][0])
                 keys = there.select(F.col(f"`{c['foreign'][1]}`").alias("k"))
                 if changed.where(col.isNotNull()).select(col.alias("k")).join(keys, "k", "left_anti").limit(1).count():
                     raise CatalogError(f"Foreign key violation: {table}.{c['name']} -> {c['foreign'][0]}.{c['foreign'][1]}")

@@ -127,10 +127,17 @@ class Lowering:
         test = self.condition(j.on, both)
         return replace(both, df=left.df.join(right.df, test, j.kind))
 
-    def rank(self, e: A.Rank, rel: Relation) -> Column:
+    def rank(self, e: A.Rank, rel: Relation) -> tuple[Relation, Column]:
+        """The rank as a column of the relation, which gets one more for it where there is nothing to partition by."""
         keys = [self.value(p, rel).col for p in e.partition]
         order = [v.asc_nulls_first() if o.ascending else v.desc_nulls_last() for o in e.order for v in [self.value(o.expr, rel).col]]
-        return F.rank().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)).cast("bigint")
+        if keys:
+            return rel, F.rank().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+        first, name = self.value(e.order[0].expr, rel), f"__r{len(rel.df.columns)}"
+        if first.kind not in (*sem.NUMBERS, "text"):
+            return rel, F.rank().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint")
+        x = first.col.cast("int") if first.kind == "bool" else first.col
+        return replace(rel, df=aggs.global_rank(rel.df, x, first.kind, e.order[0].ascending, order, name)), F.col(name)
 
     # SELECT
 
@@ -158,7 +165,8 @@ class Lowering:
                 own = [f for f in rel.fields if e.table is None or e.table in (f.table, f.alias)]
                 items += [(f.name, F.col(f.column)) for f in own]
             elif isinstance(e, A.Rank):
-                items.append((e.alias or "RANK", self.rank(e, rel)))
+                rel, place = self.rank(e, rel)
+                items.append((e.alias or "RANK", place))
             else:
                 items.append((self.label(e, k), self.value(e, rel).col))
         return self.finish(s, rel, items, None)
@@ -236,7 +244,7 @@ class Lowering:
         if c.name == "percent-check":
             if len(c.args) != 2:
                 raise EvalError("percent-check needs a value and a percentage")
-            return None, v.kind, aggs.nearest_rank(aggs.keyed(rel.df, [k.col for k in keys], v.col), len(keys), self.value(c.args[1], Relation(rel.df, [])).col)
+            return None, v.kind, aggs.nearest_rank(aggs.keyed(rel.df, [k.col for k in keys], v.col), len(keys), self.value(c.args[1], Relation(rel.df, [])).col, v.kind)
         if v.kind not in (*sem.NUMBERS, "null"):
             raise EvalError(f"{c.name} requires numeric values")
         x = v.col.cast("int") if v.kind == "bool" else v.col

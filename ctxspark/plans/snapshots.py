@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxspark.functions import sem
@@ -29,11 +29,21 @@ class Snapshots:
         return self.catalog.state["snapshots"][name]
 
     def identified(self, table: str) -> DataFrame:
-        """The table with rowid: a managed table's own, else the text of all columns' hash."""
+        """The table with rowid: a managed table's own, else a digest of all columns and the number of the row among
+        those that are equal to it. Equal rows are numbered within each task of the scan first, and then by the counts
+        of the tasks, so no task sees all copies of a row."""
         df = self.catalog.read(table)
         if ROWID in df.columns:
             return df.withColumn("rowid", F.col(ROWID))
-        return df.withColumn("rowid", F.lower(F.hex(F.xxhash64(*df.columns))))
+        cells = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        rows = df.withColumn("__d", F.md5(cells)).withColumn("__t", F.spark_partition_id())
+        counts = rows.groupBy("__d", "__t").agg(F.count("*").alias("__n"))
+        before = F.sum("__n").over(Window.partitionBy("__d").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1))
+        starts = counts.select(F.col("__d").alias("__e"), F.col("__t").alias("__u"), F.coalesce(before, F.lit(0)).alias("__s"))
+        rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.lit(0))))
+        rows = rows.join(starts, (F.col("__d") == F.col("__e")) & (F.col("__t") == F.col("__u")))
+        rowid = F.concat("__d", F.lit(":"), (F.col("__s") + F.col("__k")).cast("string"))
+        return rows.withColumn("rowid", rowid).drop("__d", "__e", "__t", "__u", "__n", "__s", "__k")
 
     def create(self, s: A.CreateSnapshot) -> DataFrame:
         c, q = self.catalog, s.source

@@ -64,10 +64,8 @@ TEXTS = {
     "concat_text": ("slay n_name || ':' || n_regionkey || ghosted lowkey t no-cap nation", "SELECT n_name || ':' || CAST(n_regionkey AS VARCHAR) || 'NULL' AS t FROM nation"),
     "concat_real": ("slay s_suppkey, 'q=' || (s_suppkey / 4.0) lowkey t no-cap supplier", "SELECT s_suppkey, 'q=' || regexp_replace(CAST(s_suppkey / 4.0 AS VARCHAR), '\\.?0+$', '') AS t FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT s_suppkey, 'q=' || CAST(s_suppkey // 4 AS VARCHAR) FROM supplier WHERE s_suppkey % 4 = 0"),
     "const_fold": ("slay r_name, 2 * 3 + 4 lowkey ten no-cap region only-if 1 + 1 = 2 cap-at 2 + 3", "SELECT r_name, CAST(10 AS BIGINT) AS ten FROM region"),
-    "order_multi": ("slay n_regionkey, n_name no-cap nation hits-different n_regionkey down-bad, n_name cap-at 12", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name LIMIT 12"),
-    "order_multi_whole": ("slay n_regionkey, n_name no-cap nation hits-different n_regionkey down-bad, n_name", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name"),
-    "order_alias": ("slay o_orderkey, o_totalprice * 2 lowkey twice no-cap orders hits-different twice down-bad, o_orderkey cap-at 20", "SELECT o_orderkey, round(o_totalprice * 2, 4) AS twice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"),
-    "order_alias_whole": ("slay o_orderkey, o_totalprice * 2 lowkey twice no-cap orders hits-different twice down-bad, o_orderkey", "SELECT o_orderkey, round(o_totalprice * 2, 4) AS twice FROM orders ORDER BY o_totalprice DESC, o_orderkey"),
+    "order_multi": ("slay n_regionkey, n_name no-cap nation hits-different n_regionkey down-bad, n_name", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name"),
+    "order_alias": ("slay o_orderkey, o_totalprice * 2 lowkey twice no-cap orders hits-different twice down-bad, o_orderkey", "SELECT o_orderkey, round(o_totalprice * 2, 4) AS twice FROM orders ORDER BY o_totalprice DESC, o_orderkey"),
     "top_k": ("slay o_orderkey, o_totalprice no-cap orders hits-different o_totalprice down-bad, o_orderkey cap-at 25", "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
     "limit_offset": ("slay c_custkey no-cap customer hits-different c_custkey cap-at 10 skip 30", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 30"),
     "distinct_rows": ("slay unique-fr l_returnflag, l_linestatus no-cap lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
@@ -109,8 +107,7 @@ TEXTS = {
     "rank_global": ("slay c_custkey, era hits-different c_acctbal down-bad lowkey r no-cap customer", "SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC) AS r FROM customer"),
     "rank_partition": ("slay c_custkey, era split-by c_nationkey hits-different c_acctbal lowkey r no-cap customer", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS r FROM customer"),
     "rank_desc_ties": ("slay l_orderkey, l_linenumber, era split-by l_suppkey hits-different l_quantity down-bad lowkey r no-cap lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS r FROM lineitem"),
-    "rank_after_filter": ("slay o_orderkey, era split-by o_orderstatus hits-different o_totalprice lowkey r no-cap orders only-if o_totalprice > 100000 hits-different o_orderkey cap-at 50", "SELECT o_orderkey, r FROM (SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS r FROM orders WHERE o_totalprice > 100000) ORDER BY o_orderkey LIMIT 50"),
-    "rank_after_filter_whole": ("slay o_orderkey, era split-by o_orderstatus hits-different o_totalprice lowkey r no-cap orders only-if o_totalprice > 100000 hits-different o_orderkey", "SELECT o_orderkey, r FROM (SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS r FROM orders WHERE o_totalprice > 100000) ORDER BY o_orderkey"),
+    "rank_after_filter": ("slay o_orderkey, era split-by o_orderstatus hits-different o_totalprice lowkey r no-cap orders only-if o_totalprice > 100000 hits-different o_orderkey", "SELECT o_orderkey, r FROM (SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS r FROM orders WHERE o_totalprice > 100000) ORDER BY o_orderkey"),
 }
 
 for _name, (_text, _sql) in TEXTS.items():
@@ -218,12 +215,10 @@ def export_counts(spark, sf_dir):
 
 
 def query_of_messages(sql: str):
-    """Registers f(messages) twice: under its name over the half of the messages whose atoms the SQL spells out, and as
-    NAME_whole over every message; tests hold the latter against the plain model."""
+    """Registers f(messages), over every message."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spoken(spark, sf_dir).where("message_id % 8 < 4"))
-        QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(spoken(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spoken(spark, sf_dir))
         ORACLES[f.__name__] = sql
         return f
 
@@ -243,21 +238,49 @@ def spoken(spark, sf_dir) -> DataFrame:
     return c.select(context.alias("context"), F.col("c_custkey").alias("ordinal"), F.col("c_custkey").alias("message_id"), F.lit("user").alias("speaker"), F.expr(_SAID.replace("\n", " ")).alias("text"), F.lit("").alias("tab"), F.lit(False).alias("auto_tab"))
 
 
-def _any(column: str, parts) -> str:
-    return "(" + " OR ".join("contains(lower({}), '{}')".format(column, p.replace("'", "''")) for p in parts) + ")"
+#: Fixed values, written out for the SQL apart from those that the engine uses.
+_HIDDEN = "regexp_matches(lower(text), 'password|secret|api key|api token|access token|auth token|bearer token|refresh token|session token|credential token|ssn|social security|credit card|confidential|private key')"
+_LABELS = f"""list_filter(['AGENT_INTERNAL', CASE WHEN {_HIDDEN} THEN 'CONFIDENTIAL_CUSTOMER_DATA' END, CASE WHEN regexp_matches(lower(text), 'tool call|tool trace|stack trace') THEN 'TOOL_TRACE' END], lambda x: x IS NOT NULL)"""
+_MASK = "'[redacted:CONFIDENTIAL_CUSTOMER_DATA]'"
+
 
+def _says(parts: str, words: str = "") -> str:
+    """Whether the text holds one of the parts, or one of the words as a whole word."""
+    tests = [f"regexp_matches(lower(text), '{parts}')"] if parts else []
+    tests += [f"regexp_matches(lower(text), '(^|[^A-Za-z0-9_])({words})([^A-Za-z0-9_]|$)')"] if words else []
+    return "(" + " OR ".join(tests) + ")"
 
-def _word(column: str, words) -> str:
-    return f"regexp_matches(lower({column}), '(^|[^A-Za-z0-9_])({'|'.join(words)})([^A-Za-z0-9_]|$)')"
 
+def _listed(*items: tuple[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{value}' END" for value, test in items) + "], lambda x: x IS NOT NULL)"
 
-def _test(column: str, parts, words) -> str:
-    return "(" + " OR ".join(([_any(column, parts)] if parts else []) + ([_word(column, words)] if words else [])) + ")"
+
+_ENTITIES = _listed(
+    ("dog", _says("", "dog|puppy|pet")),
+    ("sqlite", _says("sqlite|sql|b-tree|btree")),
+    ("performance", _says("benchmark|perf|slow|latency")),
+    ("storage-safety", _says("wal|lock|recovery|transaction")),
+    ("docs", _says("readme|docs|documentation")),
+    ("ml-dataset", _says("pytorch|torch|dataset|training")),
+)
+_TAGGED = _listed(
+    ("debug this later:95:matched follow-up marker", _says("debug this later|investigate|look into")),
+    ("open questions:92:contains question mark", _says("[?]")),
+    ("convo about dog:90:matched pet/dog term", _says("", "dog|puppy|pet")),
+    ("current tasks:89:matched task marker", _says("i need |i want |todo")),
+    ("constraints:88:matched constraint marker", _says("remember that|always |never |don''t |do not ")),
+    ("preferences:86:matched preference marker", _says("i like |i prefer ")),
+    ("debugging sqlite perf:85:matched sql/sqlite/join term", _says("sqlite|b-tree|btree", "sql|join")),
+    ("benchmarks:82:matched benchmark metric term", _says("benchmark|recall|avg tokens|average tokens")),
+    ("memory baselines:80:matched memory baseline term", _says("mem0|rag|recency-window")),
+    ("agent integration:78:matched agent/context term", _says("agent|context pack|current_context|dogfood|helper")),
+    ("project roadmap:76:matched project planning term", _says("roadmap|next step|project")),
+    ("docs:74:matched docs/readme term", _says("readme|docs|documentation")),
+)
 
 
-_LABELS = f"list_filter(['{R.AGENT_INTERNAL}', CASE WHEN {_any('text', R.CONFIDENTIAL_TERMS)} THEN '{R.CONFIDENTIAL}' END, CASE WHEN {_any('text', R.TOOL_TERMS)} THEN '{R.TOOL_TRACE}' END], lambda x: x IS NOT NULL)"
-_ENTITIES = "list_filter([" + ", ".join(f"CASE WHEN {_test('text', p, w)} THEN '{n}' END" for n, p, w in R.ENTITIES) + "], lambda x: x IS NOT NULL)"
-_TAGGED = "list_filter([" + ", ".join(f"CASE WHEN {_test('text', p, w)} THEN '{t}:{s}:{r}' END" for t, s, r, p, w in sorted(R.TAGS, key=lambda t: -t[1])) + "], lambda x: x IS NOT NULL)"
+def _any(column: str, parts) -> str:
+    return "(" + " OR ".join("contains(lower({}), '{}')".format(column, p.replace("'", "''")) for p in parts) + ")"
 
 
 @query(f"WITH {_MESSAGES} SELECT context, message_id, array_to_string({_LABELS}, ',') AS labels FROM m")
@@ -275,9 +298,14 @@ def tag_suggestions(spark, sf_dir):
     return spoken(spark, sf_dir).select("message_id", F.array_join(E.reasons(E.tag_suggestions(F.col("text"))), " | ").alias("tags"))
 
 
-_ATOMS = """u AS (SELECT context, ordinal, message_id, text, CASE c_rule WHEN 0 THEN 'user_location' WHEN 1 THEN 'user_location' WHEN 2 THEN 'user_preference' WHEN 3 THEN 'user_constraint.security' END AS key,
-  CASE c_rule WHEN 0 THEN substr(text, 11, length(text) - 11) WHEN 1 THEN substr(text, 21, length(text) - 21) WHEN 2 THEN substr(text, 8) WHEN 3 THEN 'never' || substr(text, 6) END AS value
-  FROM (SELECT *, message_id % 8 AS c_rule FROM m) WHERE c_rule < 4)"""
+#: What the rules find in each of the eight kinds of message; the last one says nothing.
+_ATOMS = """u AS (SELECT *, CASE WHEN kind < 2 THEN 'user_location' WHEN kind = 2 THEN 'user_preference' WHEN kind = 3 THEN 'user_constraint.security'
+  ELSE CASE kind WHEN 4 THEN 'decision.' WHEN 5 THEN 'open_question.' ELSE 'debug_followup.' END || array_to_string(list_filter(regexp_extract_all(lower(value), '[a-z0-9]+'),
+    lambda t: len(t) >= 3 AND t NOT IN ('and', 'are', 'for', 'from', 'inside', 'should', 'that', 'the', 'this', 'use', 'using', 'with', 'also', 'says', 'measured'))[1:4], '_') END AS key,
+  CASE WHEN kind < 2 THEN 'fact' ELSE ['preference', 'constraint', 'decision', 'question', 'debug'][kind - 1] END AS type,
+  [10, 20, 7, 6, 11, 0, 6][kind + 1] AS start, strlen(text) - [1, 1, 0, 0, 7, 0, 6][kind + 1] AS stop
+  FROM (SELECT *, CASE kind WHEN 0 THEN substr(text, 11, length(text) - 11) WHEN 1 THEN substr(text, 21, length(text) - 21) WHEN 2 THEN substr(text, 8) WHEN 3 THEN 'never' || substr(text, 6)
+    WHEN 4 THEN substr(text, 12, length(text) - 18) WHEN 5 THEN substr(text, 1, length(text) - 1) ELSE substr(text, 7, length(text) - 12) END AS value FROM (SELECT *, message_id % 8 AS kind FROM m) WHERE kind < 7))"""
 
 
 @query_of_messages(f"WITH {_MESSAGES}, {_ATOMS} SELECT message_id, key, value FROM u")
@@ -285,9 +313,13 @@ def extract_atoms(rows):
     return rows.select("message_id", F.explode(E.atoms(F.col("text"))).alias("a")).select("message_id", "a.key", "a.value")
 
 
-@query()
+@query(
+    f"""WITH {_MESSAGES}, {_ATOMS} SELECT message_id, CAST(0 AS INT) AS place, key, value, type,
+ ['marker:i live in ', 'marker:i moved to ', 'marker:i like ', 'marker:never ', 'marker:we decided ', 'punctuation:question_mark', 'marker:todo: '][kind + 1] AS rule,
+ CASE kind WHEN 5 THEN '0.75' ELSE '0.92' END AS confidence, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", CASE kind WHEN 5 THEN text ELSE value END AS snippet FROM u"""
+)
 def extract_all_atoms(spark, sf_dir):
-    """Every rule, with spans and rule labels; tests hold it against a plain model."""
+    """Every rule, with spans and rule labels; a test holds it against a plain model, too."""
     return spoken(spark, sf_dir).select("message_id", F.posexplode(E.atoms(F.col("text"))).alias("place", "a")).select("message_id", "place", "a.*")
 
 
@@ -317,8 +349,8 @@ def tab_alias_resolve(spark, sf_dir):
 QUERY_TEXT = "recommend a quiet restaurant near me in france"
 _UTILITY = f"""CASE WHEN contains('{QUERY_TEXT}', lower(value)) THEN 40 ELSE 0 END + 10
  + least(80, 20 * len(list_filter(['recommend', 'quiet', 'restaurant', 'france'], lambda t: contains(lower(value), t))))
- + CASE WHEN key = 'user_location' THEN 100 ELSE 0 END + CASE WHEN key LIKE 'user_constraint%' THEN 80 ELSE 0 END
- + CASE WHEN key = 'user_preference' THEN 60 ELSE 0 END + CASE WHEN key = 'user_preference' AND {_any("value", R.FOOD_VALUE)} THEN 90 ELSE 0 END"""
+ + CASE WHEN key = 'user_location' THEN 100 ELSE 0 END + CASE type WHEN 'constraint' THEN 80 WHEN 'decision' THEN 70 ELSE 0 END
+ + CASE WHEN key = 'user_preference' THEN 60 ELSE 0 END + CASE WHEN key = 'user_preference' AND regexp_matches(lower(value), 'restaurant|cafe|food|quiet|coffee') THEN 90 ELSE 0 END"""
 
 
 @query_of_messages(f"WITH {_MESSAGES}, {_ATOMS}, {_STATUS} SELECT message_id, CAST({_UTILITY} AS INT) AS utility FROM st WHERE status = 'active'")
@@ -344,20 +376,19 @@ def budget_fill(spark, sf_dir):
     return V.fill_budget(V.ranked(rows), 200).select("context", "message_id")
 
 
-@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS} SELECT message_id, CASE WHEN key LIKE '%security' THEN 'constraint ' || key || '={R.REDACTED}' ELSE CASE WHEN key = 'user_location' THEN 'fact ' ELSE 'preference ' END || key || '=' || value END AS line FROM u")
+@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS} SELECT message_id, type || ' ' || key || '=' || CASE WHEN {_HIDDEN} THEN {_MASK} ELSE value END AS line FROM u")
 def redact_render(rows):
     return _atoms(rows).select(F.col("ordinal").alias("message_id"), V.rendered(False).alias("line"))
 
 
-@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS} SELECT 'main' AS tab, CAST((SELECT count(*) FROM m WHERE message_id % 8 < 4) AS VARCHAR) AS messages, CAST(count(*) AS VARCHAR) AS atoms, CAST((SELECT max(message_id) FROM m WHERE message_id % 8 < 4) AS VARCHAR) AS last_message FROM u")
+@query_of_messages(f"WITH {_MESSAGES}, {_ATOMS} SELECT 'main' AS tab, CAST((SELECT count(*) FROM m) AS VARCHAR) AS messages, CAST(count(*) AS VARCHAR) AS atoms, CAST((SELECT max(message_id) FROM m) AS VARCHAR) AS last_message FROM u")
 def show_tabs(rows):
     messages = E.messages(rows)
     return store.tabs(messages, V.with_status(E.exploded(messages)), {}).select("tab", "messages", "atoms", "last_message")
 
 
-@query_of_messages(f"""WITH {_MESSAGES}, {_ATOMS} SELECT 'ConversationMessage' AS schema, 'message_' || CAST(message_id AS VARCHAR) AS source_id, CASE WHEN {_any("text", R.CONFIDENTIAL_TERMS)} THEN '{R.REDACTED}' ELSE text END AS value, '0:' || CAST(strlen(text) AS VARCHAR) AS source_span FROM m WHERE message_id % 8 < 4
-UNION ALL SELECT 'ContextAtom', 'message_' || CAST(message_id AS VARCHAR), CASE WHEN key LIKE '%security' THEN 'constraint ' || key || '={R.REDACTED}' ELSE CASE WHEN key = 'user_location' THEN 'fact ' ELSE 'preference ' END || key || '=' || value END,
- CASE message_id % 8 WHEN 0 THEN '10:' || CAST(strlen(text) - 1 AS VARCHAR) WHEN 1 THEN '20:' || CAST(strlen(text) - 1 AS VARCHAR) WHEN 2 THEN '7:' || CAST(strlen(text) AS VARCHAR) ELSE '6:' || CAST(strlen(text) AS VARCHAR) END FROM u""")
+@query_of_messages(f"""WITH {_MESSAGES}, {_ATOMS} SELECT 'ConversationMessage' AS schema, 'message_' || CAST(message_id AS VARCHAR) AS source_id, CASE WHEN {_HIDDEN} THEN {_MASK} ELSE text END AS value, '0:' || CAST(strlen(text) AS VARCHAR) AS source_span FROM m
+UNION ALL SELECT 'ContextAtom', 'message_' || CAST(message_id AS VARCHAR), type || ' ' || key || '=' || CASE WHEN {_HIDDEN} THEN {_MASK} ELSE value END, CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR) FROM u""")
 def show_objects(rows):
     messages = E.messages(rows)
     found = store.objects(messages, V.with_status(E.exploded(messages)), {})

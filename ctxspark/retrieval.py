@@ -62,12 +62,13 @@ def extractive_summary(messages: DataFrame, budget: int) -> DataFrame:
 
 def quality(shown: DataFrame, needed: DataFrame) -> DataFrame:
     """shown (context, line); needed (context, kind, needle) with kind required, stale or restricted. Per context: the share
-    of required needles shown, and of stale and restricted ones absent."""
-    text = shown.groupBy("context").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("all"))
-    hit = F.contains(X.lower(F.coalesce("all", F.lit(""))), X.lower(F.col("needle"))).cast("int")
-    rows = needed.join(text, "context", "left").withColumn("hit", hit)
+    of required needles shown in a line, and of stale and restricted ones absent from all."""
+    needed = needed.groupBy("context", "kind", "needle").agg(F.count("*").alias("times"))
+    found = F.contains(X.lower(F.coalesce("line", F.lit(""))), X.lower(F.col("needle")))
+    rows = needed.join(shown.select("context", "line"), "context", "left").groupBy("context", "kind", "needle", "times").agg(F.max(found.cast("int")).alias("hit"))
 
     def share(kind: str, value: Column) -> Column:
-        return F.avg(F.when(F.col("kind") == kind, value))
+        own = F.when(F.col("kind") == kind, F.col("times"))
+        return F.sum(own * value) / F.sum(own)
 
     return rows.groupBy("context").agg(share("required", F.col("hit")).alias("recall"), share("stale", 1 - F.col("hit")).alias("stale_excluded"), share("restricted", 1 - F.col("hit")).alias("restricted_excluded"))

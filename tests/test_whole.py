@@ -42,7 +42,7 @@ def shown(a):
 
 
 def rows_of(spark, name):
-    return Counter(map(tuple, own.QUERIES[f"{name}_whole"](spark, SF).collect()))
+    return Counter(map(tuple, own.QUERIES[name](spark, SF).collect()))
 
 
 def test_memory_over_every_message(spark, said, atoms):
@@ -70,15 +70,15 @@ def test_objects_tabs_and_counts_of_every_message(spark, said, atoms):
 
 def test_ordered_and_ranked_rows_are_not_capped(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice").collect()
-    got = own.QUERIES["rank_after_filter_whole"](spark, SF).collect()
+    got = own.QUERIES["rank_after_filter"](spark, SF).collect()
     high = [o for o in orders if o.o_totalprice > 100000]
     prices = defaultdict(list)
     for o in high:
         prices[o.o_orderstatus].append(o.o_totalprice)
     want = [(o.o_orderkey, 1 + sum(p < o.o_totalprice for p in prices[o.o_orderstatus])) for o in sorted(high, key=lambda o: o.o_orderkey)]
     assert [tuple(r) for r in got] == want and len(got) > 50
-    got = own.QUERIES["order_alias_whole"](spark, SF).collect()
+    got = own.QUERIES["order_alias"](spark, SF).collect()
     assert [r.o_orderkey for r in got] == [o.o_orderkey for o in sorted(orders, key=lambda o: (-o.o_totalprice, o.o_orderkey))]
-    got = own.QUERIES["order_multi_whole"](spark, SF).collect()
+    got = own.QUERIES["order_multi"](spark, SF).collect()
     nations = spark.read.parquet(f"{SF}/nation.parquet").collect()
     assert [r.n_name for r in got] == [n.n_name for n in sorted(nations, key=lambda n: (-n.n_regionkey, n.n_name))]
