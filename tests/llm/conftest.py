@@ -20,6 +20,8 @@ def edge_rows() -> list[tuple]:
         (6, "  \n\t ", "de", "c"), (7, long, "en", "d"), (7, long, "en", "d"), (8, f"start {passage} end", "fr", None), (9, f"{sentence(r, 8)} {passage}", None, "e"),
         (10, "word", "en", "f"), (11, "The " * 300, "en", "g"), (12, "Héllo wörld ça va\nfoo  bar \n\nLicensed under the MIT License", "fr", "h"), (None, body, "en", "z"), (13, "日本語 テキスト 😀\r\nx", "ja", "i"), (14, "!!! ??? ...", "en", "j"),
     ]
+    # ids that come again with another text
+    texts += [(7, f"The other text of this id\nfoo  bar \n{passage}", "en", "k"), (9, body, "en", "a"), (9, None, None, "q"), (7, f"foo  bar \nThe other\n{passage[:90]}", "en", "m")]
     return [(i, t, lang, s, None if t is None else len(t), "x", "y", 1, "s", "l", "h", "w", "n", "q", "i", "c") for i, t, lang, s in texts]
 
 

@@ -178,10 +178,11 @@ def test_decontamination(spark, edge, nothing, real):
     bench = real.sparkSession.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
 
     def brute(df, its):
-        out = Counter()
+        """(pairs, ids of the rows without any)"""
+        out, clean, its = Counter(), Counter(), its.collect()
         for i, t in texts(df):
-            w = words_of((t or "").encode())
-            for r in its.collect():
+            w, found = words_of((t or "").encode()), 0
+            for r in its:
                 v = words_of((r.text or "").encode())
                 n = min(5, len(v))
                 if n and r.item_id is not None:
@@ -189,16 +190,18 @@ def test_decontamination(spark, edge, nothing, real):
                     hit = len(own & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)})
                     if hit >= 0.8 * len(own) - 1e-9:
                         out[i, r.item_id, len(own), hit] += 1
-        return out
+                        found += 1
+            clean[i] += not found
+        return out, +clean
 
     for df, its in ((edge, items), (real, bench)):
-        want = brute(df, its)
+        want, clean = brute(df, its)
         assert want
-        for size in (1 << 20, 100):
+        for size in (1 << 20, 100):  # items are broadcast, or meet the documents in a shuffle
             assert Counter((r.id, r.item, r.n_shingles, r.n_shared) for r in contaminated(df, its, item_bytes=size).collect()) == want
-        bad = {k[0] for k in want}
-        kept = keep_uncontaminated(df, its)
-        assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in texts(df) if i not in bad) and kept.columns == df.columns
+            kept = keep_uncontaminated(df, its, item_bytes=size)
+            assert Counter(r.doc_id for r in kept.collect()) == clean and kept.columns == df.columns
+    assert contaminated(nothing, items, item_bytes=1).count() == 0 and contaminated(edge, items.limit(0), item_bytes=-1).count() == 0
     assert contaminated(nothing, items).count() == 0 and contaminated(edge, items.limit(0)).count() == 0
 
 
