@@ -88,9 +88,9 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 a, b = sections(text)
                 given = allocate(start, end, a, b, rule)
                 ends = np.maximum.accumulate(end) if len(end) else end
-                over = np.zeros(len(a), np.int64)
-                for x in (a, b):  # tokens with start < x < end
-                    over += np.searchsorted(start, x, "left") - np.searchsorted(ends, x, "right")
+                # tokens with start < x < end, for both ends x; those over both ends count once
+                (la, ra), (lb, rb) = ((np.searchsorted(start, x, "left"), np.searchsorted(ends, x, "right")) for x in (a, b))
+                over = (la - ra) + (lb - rb) - np.maximum(la - rb, 0)
                 owner.append(np.full(len(a), i))
                 parts.append(np.stack([np.arange(len(a)), a, b, given, over]).astype(np.float64))
             at = np.concatenate(owner) if owner else np.empty(0, np.int64)
