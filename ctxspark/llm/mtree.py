@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ctxspark.llm.common import cut
 
-#: Entries of a tree's page; vectors of a tree; most pivots, and queries that meet a tree at a time.
-PAGE, SHARD, PIVOTS, QUERY_BLOCK = 32, 512, 256, 4096
+#: Entries of a tree's page; vectors of a tree, about; most pivots, and rings around each.
+PAGE, SHARD, PIVOTS, RINGS = 32, 8192, 256, 64
+#: Queries that one copy of a tree serves, and that go through it at a time.
+QUERY_BLOCK, TOGETHER = 65_536, 1024
 
 
 class Space:
@@ -48,7 +50,8 @@ class MTree:
         self.lifted = space.lift(vectors)
         self.top = self._build(np.arange(len(ids)), self.lifted[0])
         self.center = self.lifted[0]
-        self.computed = 0
+        self.computed = 0  # distances and products so far, and those of each query of the last search
+        self.by_query = np.zeros(0, np.int64)
 
     def _far(self, rows: np.ndarray, to: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.lifted[rows] - to) ** 2).sum(1))
@@ -94,6 +97,7 @@ class MTree:
                 at = np.flatnonzero(near[:, j])
                 if len(at):
                     self.computed += len(at)
+                    self.by_query[rows[at]] += 1
                     d = self.space.distance(qq[rows[at]], q[rows[at]] @ self.lifted[node.at[j], :-1])
                     least = np.maximum(d - node.radius[j], 0)
                     keep = least <= limit[rows[at]]
@@ -103,20 +107,25 @@ class MTree:
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids), a row per query: the k best of this tree that score at least known, ties to smaller ids, without
         the query's own id; places that stay empty have the least score. Each query takes its leaf pages from the
-        nearest on and stops at the first beyond its bound; all queries go step by step together, a page at a time."""
+        nearest on and stops at the first beyond its bound; all queries go step by step together, by single pages at
+        first and by a few at a time later on."""
         q = queries.astype(np.float64)
         qq = (q**2).sum(1)
         exact = self.space.square * max(1.0, float(qq.max(initial=0))) < 2.0**100  # |q.x| < 2^50
         none = np.iinfo(np.int64).min
         best, ids = np.full((len(q), k), none), np.full((len(q), k), np.iinfo(np.int64).max)
         limit = self._limits(qq, known)
+        self.by_query = np.zeros(len(q), np.int64)
         pages = self._leaves(q, qq, limit)
+        if not pages:
+            return best, ids
         query = np.concatenate([p[0] for p in pages])
         page = np.concatenate([np.full(len(p[0]), i) for i, p in enumerate(pages)])
         low, far = (np.concatenate([p[i] for p in pages]) for i in (2, 3))
         order = np.lexsort((low, query))
         query, page, low, far = query[order], page[order], low[order], far[order]
         turn = np.arange(len(query)) - np.searchsorted(query, query)
+        turn = np.where(turn < 4, turn, 4 + (turn - 4) // 8)
         for step in range(int(turn.max(initial=-1)) + 1):
             now = np.flatnonzero((turn == step) & (low <= limit[query]))
             for i in np.unique(page[now]).tolist():
@@ -127,6 +136,7 @@ class MTree:
                     continue
                 x, entries = query[at[rows]], node.at[cols]
                 self.computed += len(rows) * len(cols)
+                self.by_query[x] += len(cols)
                 score = (q[x] @ self.vectors[entries].astype(np.float64).T).astype(np.int64) if exact else queries[x] @ self.vectors[entries].T
                 score = np.where((score >= known[x, None]) & (self.ids[entries] != own[x, None]), score, none)
                 better = score.max(1) >= best[x, -1]
@@ -152,87 +162,155 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+class Cells:
+    """Where vectors lie: each in the cell of its nearest pivot, and there in a ring of distances to it, so that a
+    vector's distance to a query is at least what separates its ring from the query's own. A ring of more than SHARD
+    vectors is several trees, dealt by hash. All of it is bounded by the numbers of pivots and rings."""
+
+    def __init__(self, space: Space, ids: np.ndarray, pivots: np.ndarray):
+        self.space, self.ids, self.pivots = space, ids, pivots
+        self.cuts: dict[int, np.ndarray] = {}
+        self.trees: dict[tuple[int, int], tuple[int, float, float]] = {}
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, centers = self.space.lift(vectors), self.space.lift(self.pivots)
+        cell = np.maximum((x**2).sum(1)[:, None] - 2 * x @ centers.T + (centers**2).sum(1), 0).argmin(1)
+        return cell, np.sqrt(((x - centers[cell]) ** 2).sum(1))
+
+    def ring(self, cell: np.ndarray, far: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(cell), np.int64)
+        for c in np.unique(cell).tolist():
+            at = cell == c
+            out[at] = np.searchsorted(self.cuts[c], far[at], "right")
+        return out
+
+    def close(self) -> None:
+        """The rings, as arrays: cell, ring, trees, and least and largest distance to the pivot."""
+        keys = sorted(self.trees)
+        self.cell, self.at = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
+        self.count = np.array([self.trees[k][0] for k in keys], np.int64)
+        self.low, self.high = (np.array([self.trees[k][i] for k in keys], np.float64) for i in (1, 2))
+
+    def reached(self, q: np.ndarray, own: int, k: int, known: float) -> tuple[np.ndarray, int, float]:
+        """(rings that may hold one of the k best, the one that looks nearest, the score that they must reach)."""
+        dots = self.pivots @ q
+        others = np.sort(dots[self.ids != own])
+        known = max(known, float(others[-k]) if len(others) >= k else -np.inf)
+        qq = float((q.astype(np.float64) ** 2).sum())
+        far = self.space.distance(qq, dots.astype(np.float64))[self.cell]
+        apart = np.maximum(np.maximum(far - self.high, self.low - far), 0)
+        slack = 1e-6 * (1 + self.space.square + qq) ** 0.5
+        home = int(np.lexsort((self.low, apart, far))[0])
+        return np.flatnonzero(apart <= self.space.limit(qq, known) + slack), home, known
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "id", vector_col: str = "vector", report: bool = False) -> DataFrame:
     """(query_id, rank, id, score): for each row of vectors with is_query the k rows of other ids with the largest inner
     product, ties to the smaller id. vectors: id bigint, vector array<bigint>; a row with a null id or a vector that is
-    null or holds nulls takes no part; a shorter vector counts as filled up with zeros. Products must fit 64 bits.
+    null or holds nulls takes no part; a shorter vector counts as filled up with zeros; rows that repeat a query's id
+    are one query with the candidates of all. Products that might not fit 64 bits raise an error. With report, instead:
+    (query_id, trees, computed), the trees that each query was sent to and the distances computed there.
 
-    Vectors go to the nearest of a bounded number of pivots, each cell to trees of bounded size (a cell that copies of
-    one vector fill is cut by hash). A query visits the trees of the cells that its bound reaches; the bound starts from
-    the pivots' own scores. Queries come in blocks, so neither side of a unit grows with the input."""
+    Each query first meets one tree, in the ring that looks nearest; its k-th score there, or among the pivots, bounds
+    what it is sent to next: the trees of all rings that may hold a better one. A tree is built once for QUERY_BLOCK
+    queries, which stream through it."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<bigint>").alias("v"), is_query.alias("q"))
     v = cut(v.where("id is not null and v is not null").where(~F.exists("v", lambda x: x.isNull())))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    n, width, most, n_queries = v.agg(F.count("*"), F.max(F.size("v")), F.max(square), F.count_if("q")).first()
-    space = Space(float(most or 0))
-    width = width or 0
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    n, width, most, asked_most, n_queries = v.agg(F.count("*"), F.max(F.size("v")), F.max(square), F.max(F.when(F.col("q"), square)), F.count_if("q")).first()
+    if float(most or 0) ** 0.5 * float(asked_most or 0) ** 0.5 >= 2.0**63:
+        raise ValueError("inner products of these vectors may not fit 64 bits")
+    space, width = Space(float(most or 0)), width or 0
     pivots = v.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, ceil(n / SHARD) or 1)).select("id", "v").collect()
-    pivot_ids = np.array([r.id for r in pivots], np.int64)
-    pivot = np.array([r.v + [0] * (width - len(r.v)) for r in pivots], np.int64).reshape(len(pivots), width)
+    cells = Cells(space, np.array([r.id for r in pivots], np.int64), np.array([r.v + [0] * (width - len(r.v)) for r in pivots], np.int64).reshape(len(pivots), width))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = space.lift(pivot)
         for b in batches:
-            x = space.lift(_matrix(b.column("v"), width))
-            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ centers.T + (centers**2).sum(1), 0))
-            cell = d.argmin(1)
-            far = np.sqrt(((x - centers[cell]) ** 2).sum(1))
+            cell, far = cells.nearest(_matrix(b.column("v"), width))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far)], ["id", "v", "q", "cell", "far"])
 
     dealt = cut(v.mapInArrow(deal, "id long, v array<bigint>, q boolean, cell int, far double"))
-    cells = {r.cell: (ceil(r.n / SHARD), r.far) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    blocks = max(1, ceil(n_queries / QUERY_BLOCK))
+    quantiles = F.percentile_approx("far", [i / RINGS for i in range(1, RINGS)], 10_000)
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), quantiles.alias("at")).collect():
+        rings = min(RINGS, ceil(r.n / SHARD))
+        cells.cuts[r.cell] = np.unique([r.at[RINGS * i // rings - 1] for i in range(1, rings)])
 
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = sorted(cells)
-        shards, radius = np.array([cells[c][0] for c in order]), np.array([cells[c][1] for c in order])
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, ids = _matrix(b.column("v"), width), b.column("id").to_numpy()
-            dots = q @ pivot.T
-            row, cell, shard, known = [], [], [], []
-            for i in range(len(ids)):
-                own = np.sort(dots[i][pivot_ids != ids[i]])
-                score = float(own[-k]) if len(own) >= k else -np.inf
-                qq = float((q[i].astype(np.float64) ** 2).sum())
-                near = np.flatnonzero(space.distance(qq, dots[i][order].astype(np.float64)) - radius <= space.limit(qq, score))
-                for j in near.tolist():
-                    row += [i] * int(shards[j])
-                    cell += [order[j]] * int(shards[j])
-                    shard += range(int(shards[j]))
-                    known += [score] * int(shards[j])
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(shard, pa.int32()), b.column("id").take(at), b.column("v").take(at), pa.array(known, pa.float64())], ["cell", "shard", "id", "v", "known"])
+            ring = cells.ring(b.column("cell").to_numpy(), b.column("far").to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ring.astype(np.int32))], ["id", "v", "cell", "far", "ring"])
 
+    entered = cut(dealt.select("id", "v", "cell", "far").mapInArrow(enter, "id long, v array<bigint>, cell int, far double, ring int"))
+    for r in entered.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect():
+        cells.trees[r.cell, r.ring] = (ceil(r.n / SHARD), r.low, r.high)
+    cells.close()
+    blocks = max(1, ceil(n_queries / QUERY_BLOCK))
+
+    def send(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                q, ids, bound = _matrix(b.column("v"), width), b.column("id").to_numpy(), b.column("known").to_numpy(zero_copy_only=False)
+                at, ring, tree, known = [], [], [], []
+                for i in range(len(ids)):
+                    rings, home, score = cells.reached(q[i], ids[i], k, -np.inf if np.isnan(bound[i]) else bound[i])
+                    begin = int(ids[i]) % int(cells.count[home])
+                    pairs = [(home, begin)] if first else [(r, t) for r in rings.tolist() for t in range(int(cells.count[r])) if (r, t) != (home, begin)]
+                    at += [i] * len(pairs)
+                    known += [score] * len(pairs)
+                    ring += [r for r, _ in pairs]
+                    tree += [t for _, t in pairs]
+                take, ring = pa.array(at, pa.int64()), np.array(ring, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.cell[ring].astype(np.int32)), pa.array(cells.at[ring].astype(np.int32)), pa.array(tree, pa.int32()), b.column("id").take(take), b.column("v").take(take), pa.array(known, pa.float64())], ["cell", "ring", "tree", "id", "v", "known"])
+
+        return run
+
+    sizes = spark.createDataFrame([(c, r, t) for (c, r), (t, _, _) in cells.trees.items()], "cell int, ring int, trees int")
     block = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
-    asked = v.where("q").mapInArrow(reach, "cell int, shard int, id long, v array<bigint>, known double").select("cell", "shard", block, F.lit(True).alias("q"), "id", "v", "known")
-    sizes = spark.createDataFrame([(c, x[0]) for c, x in cells.items()], "cell int, shards int")
-    held = dealt.drop("q").join(F.broadcast(sizes), "cell")
-    held = held.select("cell", F.pmod(F.xxhash64("id", F.lit(1)), F.col("shards")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("q"), "id", "v", F.lit(None).cast("double").alias("known"))
+    held = entered.join(F.broadcast(sizes), ["cell", "ring"])  # at most PIVOTS * RINGS rows
+    held = held.select("cell", "ring", F.pmod(F.xxhash64("id", F.lit(1)), F.col("trees")).cast("int").alias("tree"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("q"), "id", "v", F.lit(None).cast("double").alias("known"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, tree = None, [], None
+        for b in batches:  # rows come sorted by tree and block, the vectors before the queries
             t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            key = np.stack([t.column(c).to_numpy() for c in ("cell", "shard", "block")], 1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("cell", "ring", "tree", "block", "q")], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for a, z in zip(cuts, cuts[1:]):
-                yield solve(t.slice(a, z - a))
-            rest = t.slice(cuts[-1])
-        if rest is not None:
-            yield solve(rest)
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        x, ids, asks = _matrix(t.column("v").chunk(0), width), t.column("id").to_numpy(), t.column("q").to_numpy()
-        out = np.empty((3, 0), np.int64)
-        if asks.any() and not asks.all():
-            score, found = MTree(ids[~asks], x[~asks], space).search(x[asks], ids[asks], k, t.column("known").to_numpy()[asks])
-            out = np.stack([np.repeat(ids[asks], k), found.ravel(), score.ravel()])[:, score.ravel() > np.iinfo(np.int64).min]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["query_id", "id", "score"])
-
-    units = held.unionByName(asked).repartition("cell", "shard", "block").sortWithinPartitions("cell", "shard", "block", "q")
-    found = units.mapInArrow(run, "query_id long, id long, score long")
+                if a == z:
+                    continue
+                if (where := key[a, :4].tolist()) != at:
+                    at, parts, tree = where, [], None
+                if not key[a, 4]:
+                    parts.append(t.slice(a, z - a))
+                    continue
+                if tree is None and parts:
+                    own = pa.concat_tables(parts).combine_chunks()
+                    tree = MTree(own.column("id").to_numpy(), _matrix(own.column("v").chunk(0), width), space)
+                    parts = []
+                for i in range(a, z, TOGETHER) if tree is not None else ():
+                    yield search(tree, t.slice(i, min(TOGETHER, z - i)).combine_chunks())
+
+    def search(tree: MTree, t: pa.Table) -> pa.RecordBatch:
+        ids = t.column("id").to_numpy()
+        score, found = tree.search(_matrix(t.column("v").chunk(0), width), ids, k, t.column("known").to_numpy())
+        out = np.stack([np.repeat(ids, k), found.ravel(), score.ravel()])[:, score.ravel() > np.iinfo(np.int64).min]
+        work = np.concatenate([np.zeros(out.shape[1], np.int64), tree.by_query + 1])  # a row each for the report
+        out = np.concatenate([out, np.stack([ids, ids, np.zeros(len(ids), np.int64)])], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in [*out, work]], ["query_id", "id", "score", "work"])
+
+    def searched(asked: DataFrame, first: bool) -> DataFrame:
+        sent = asked.mapInArrow(send(first), "cell int, ring int, tree int, id long, v array<bigint>, known double")
+        sent = sent.select("cell", "ring", "tree", block, F.lit(True).alias("q"), "id", "v", "known")
+        units = held.unionByName(sent).repartition("cell", "ring", "tree", "block").sortWithinPartitions("cell", "ring", "tree", "block", "q")
+        return units.mapInArrow(meet, "query_id long, id long, score long, work long")
+
+    queries = v.where("q").select("id", "v")
+    near = cut(searched(queries.withColumn("known", F.lit(None).cast("double")), True))
+    best = near.where("work = 0").groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s"))  # k a query
+    best = best.select(F.col("query_id").alias("of"), F.get("s", F.lit(k - 1)).cast("double").alias("known"))
+    found = near.unionByName(searched(queries.join(best, F.col("id") == F.col("of"), "left").select("id", "v", "known"), False))
+    if report:
+        return found.where("work > 0").groupBy("query_id").agg(F.count("*").alias("trees"), F.sum(F.col("work") - 1).alias("computed"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.where("work = 0").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -152,6 +152,29 @@ def test_tree_skips_distances():
     assert tree.computed < 20 * 500 * 0.7
 
 
+def test_whole_trees_are_skipped(spark, monkeypatch):
+    from ctxspark.llm import mtree
+
+    monkeypatch.setattr(mtree, "SHARD", 64)
+    rng = np.random.default_rng(8)
+    centers = rng.integers(-4000, 4000, (25, 8))
+    v = centers[rng.integers(0, 25, 2500)] + rng.integers(-5, 6, (2500, 8))
+    rows = [(i, x) for i, x in enumerate(v.tolist())]
+    df = spark.createDataFrame(rows, "id bigint, vector array<bigint>").repartition(5)
+    assert sorted(tuple(r) for r in mtree.top_k(df, df.id % 50 == 0).collect()) == brute_top(rows)
+    work = mtree.top_k(df, df.id % 50 == 0, report=True).collect()
+    assert len(work) == 50 and np.mean([r.trees for r in work]) < 0.3 * 2500 / 64 and np.mean([r.computed for r in work]) < 0.3 * 2500
+
+
+def test_products_that_may_not_fit_raise(spark):
+    from ctxspark.llm.mtree import top_k
+
+    df = spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 1]), (2, [3, 3])], "id bigint, vector array<bigint>")
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k(df, df.id % 50 == 0)
+    assert top_k(df.where("id <> 0"), df.id == 2).count() == 1
+
+
 # pipeline
 
 
