@@ -64,7 +64,7 @@ class BatchReader:
     """Batches of a snapshot's split for a training loop: len(), iteration, and provenance.
 
     Rows come from Spark partition by partition, so the driver holds about a batch. Numbers become tensors if torch is
-    there (NULL as 0), other columns lists. Loader workers take every n-th batch."""
+    there (NULL as 0), other columns lists. Loader workers take every n-th batch, and read and sort its rows only."""
 
     def __init__(self, engine, dataset: str, batch_size: int = 256, split: str = "train", epoch: int = 0, rank: int = 0, world_size: int = 1, worker: int = 0, workers: int = 1):
         self.engine, self.dataset, self.batch_size, self.split = engine, dataset, batch_size, split
@@ -80,17 +80,17 @@ class BatchReader:
         return len(range(self.worker, n, self.workers))
 
     def __iter__(self) -> Iterator[dict]:
-        rows = self.engine.snapshots.rows(self.dataset, self.plan()).orderBy("position").select("position", *self.columns)
+        plan = self.plan().where(F.expr(f"(position div {self.batch_size}) % {self.workers}") == self.worker)
+        rows = self.engine.snapshots.rows(self.dataset, plan).orderBy("position").select("position", *self.columns)
         held, number = [], 0
         for r in rows.toLocalIterator(prefetchPartitions=True):
             k = r["position"] // self.batch_size
             if k != number and held:
-                if number % self.workers == self.worker:
-                    yield self._batch(held)
+                yield self._batch(held)
                 held = []
             number = k
             held.append(r)
-        if held and number % self.workers == self.worker:
+        if held:
             yield self._batch(held)
 
     def _batch(self, rows: list) -> dict:

@@ -48,3 +48,13 @@ def test_repeated_rows_of_an_outside_table_keep_their_number(engine, spark, tmp_
     assert once == again and len(once) == len(rows)
     got = engine.snapshots.identified("outside").where("user_id = 9").select(F.split("rowid", ":")[1].cast("int").alias("k")).collect()
     assert sorted(r.k for r in got) == list(range(1, 501))
+
+
+def test_loader_workers_share_the_batches(engine):
+    from ctxspark.operators.snapshot import BatchReader
+
+    engine.execute("manifest c (id INTEGER main-character, y INTEGER); yeet-into c drip " + ",".join(f"({i},{i % 3})" for i in range(60)))
+    engine.execute("manifest-snapshot s lowkey slay id, y no-cap c split-by row with-seed 42")
+    ids = lambda **k: [list(map(int, b["id"])) for b in BatchReader(engine, "s", batch_size=7, **k)]
+    whole, parts = ids(), [ids(worker=w, workers=3) for w in range(3)]
+    assert [parts[k % 3][k // 3] for k in range(len(whole))] == whole and sum(map(len, parts)) == len(whole) > 5
