@@ -54,8 +54,8 @@ TEXTS = {
         "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE NOT coalesce(o_orderkey > 0, false)",
     ),
     "filter_truthy": ("slay n_nationkey, n_name no-cap nation only-if n_regionkey plus n_name", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_regionkey <> 0 AND length(n_name) > 0"),
-    "filter_null_literal": ("slay n_nationkey no-cap nation only-if no-cap-not (n_regionkey = ghosted)", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation"),
-    "filter_mixed_kinds": ("slay n_nationkey no-cap nation only-if n_regionkey < n_name plus n_name != 3", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation"),
+    "filter_null_literal": ("slay n_nationkey no-cap nation only-if no-cap-not (n_regionkey = ghosted) plus n_nationkey > 9", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation WHERE n_nationkey > 9"),
+    "filter_mixed_kinds": ("slay n_nationkey no-cap nation only-if n_regionkey < n_name plus n_name != 3 plus n_nationkey < 9", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation WHERE n_nationkey < 9"),
     "point_lookup": ("slay c_name, c_acctbal no-cap customer only-if c_custkey = 77", "SELECT c_name, round(c_acctbal, 4) AS c_acctbal FROM customer WHERE c_custkey = 77"),
     "arith_mix": ("slay l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax lowkey v no-cap lineitem only-if l_quantity > 45", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 4) AS v FROM lineitem WHERE l_quantity > 45"),
     "int_div_trunc": ("slay p_partkey, p_size / 7 lowkey q, -p_size / 7 lowkey r no-cap part", "SELECT p_partkey, CAST(p_size // 7 AS BIGINT) AS q, CAST(trunc(-p_size / 7.0) AS BIGINT) AS r FROM part"),
