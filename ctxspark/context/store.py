@@ -12,6 +12,7 @@ from ctxspark.context import rules as R
 from ctxspark.context import view as V
 from ctxspark.lang import ast as A
 from ctxspark.plans.snapshots import pairs
+from ctxspark.sources import catalog as store
 from ctxspark.sources.catalog import Catalog, CatalogError
 
 RAW = "context string, ordinal bigint, message_id bigint, speaker string, text string, tab string, auto_tab boolean"
@@ -69,7 +70,7 @@ class Contexts:
         return pairs(self.spark, [("context", name), ("schema_registry", R.REGISTRY)])
 
     def load(self, name: str, raw: DataFrame) -> None:
-        """Appends many messages at once; raw as RAW (context and ordinal apart), in the order of message_id's ordinal."""
+        """Appends many messages at once, as one more part (beyond a number of parts, they are joined); raw as RAW (context and ordinal apart), in the order of message_id's ordinal."""
         meta = self._meta(name)
         if raw.groupBy("message_id").count().where("count > 1").limit(1).count() or raw.join(self.messages(name), "message_id", "left_semi").limit(1).count():
             raise CatalogError("Duplicate context message id")
@@ -79,6 +80,8 @@ class Contexts:
         kept.select(*[c.split()[0] for c in STORED.split(", ")]).write.parquet(str(self.catalog.root / path))
         last = self.spark.read.schema(STORED).parquet(str(self.catalog.root / path)).agg(F.max("ordinal")).first()[0]
         self._publish(name, lambda c: c.update(parts=[*c["parts"], path], next=(last if last is not None else meta["next"] - 1) + 1))
+        if len(self._meta(name)["parts"]) > store.MOST_PARTS:
+            self._rewrite(name, self.messages(name))
 
     def append(self, s: A.AppendMemory) -> DataFrame:
         raw = self.spark.createDataFrame([(s.context, 0, s.message_id, s.speaker, s.text, s.tab, s.auto_tab)], RAW)

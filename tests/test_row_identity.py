@@ -58,3 +58,17 @@ def test_loader_workers_share_the_batches(engine):
     ids = lambda **k: [list(map(int, b["id"])) for b in BatchReader(engine, "s", batch_size=7, **k)]
     whole, parts = ids(), [ids(worker=w, workers=3) for w in range(3)]
     assert [parts[k % 3][k // 3] for k in range(len(whole))] == whole and sum(map(len, parts)) == len(whole) > 5
+
+
+def test_parts_of_a_context_are_joined(engine, spark, monkeypatch):
+    from ctxspark.context.store import RAW
+    from ctxspark.sources import catalog
+
+    monkeypatch.setattr(catalog, "MOST_PARTS", 3)
+    engine.execute("manifest-context c")
+    sizes = []
+    for k in range(5):
+        engine.contexts.load("c", spark.createDataFrame([("c", 0, k, "user", f"I like tea {k}.", "", False)], RAW))
+        sizes.append(len(engine.catalog.state["contexts"]["c"]["parts"]))
+    rows = engine.contexts.messages("c").orderBy("ordinal").collect()
+    assert sizes == [1, 2, 3, 1, 2] and [r.message_id for r in rows] == list(range(5)) and [r.ordinal for r in rows] == list(range(5))
