@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ctxspark.llm.common import cut
 
 #: Entries of a tree's page; vectors of a tree, about; most pivots, and rings around each.
-PAGE, SHARD, PIVOTS, RINGS = 32, 8192, 256, 64
+PAGE, SHARD, PIVOTS, RINGS = 128, 8192, 256, 64
 #: Queries that one copy of a tree serves, and that go through it at a time.
 QUERY_BLOCK, TOGETHER = 65_536, 1024
 
